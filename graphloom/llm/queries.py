@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import huffman_ids, packing
+from graphloom.llm import huffman_ids, packing, threshold_topk
 from graphloom.storage import shared_dir
 
 
@@ -30,5 +31,23 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, length=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op9_mixture_packing)}
-ORACLES: dict[str, str] = {}
+def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op5_threshold_topk, op9_mixture_packing)}
+ORACLES: dict[str, str] = {
+    "op5_threshold_topk": """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d, len(v) AS n FROM good),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM parts q JOIN parts c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""",
+}
