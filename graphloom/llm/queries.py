@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import huffman_ids, license_scan, packing, threshold_topk
+from graphloom.llm import huffman_ids, language_id, license_scan, packing, secret_scan, threshold_topk
 from graphloom.storage import shared_dir
 
 
@@ -27,6 +27,14 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_token_files(spark, path, ids=False)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer(), end_id=1, length=2048)
 
@@ -39,7 +47,7 @@ def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op3_license_scan, op5_threshold_topk, op9_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op3_license_scan, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing)}
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": """
 WITH good AS (
