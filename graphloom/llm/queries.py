@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import huffman_ids, language_id, license_scan, packing, secret_scan, threshold_topk
+from graphloom.llm import decontaminate, huffman_ids, language_id, license_scan, packing, secret_scan, threshold_topk
 from graphloom.storage import shared_dir
 
 
@@ -43,11 +43,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op3_license_scan, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing)}
+QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op3_license_scan, op4_decontaminate, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing)}
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": """
 WITH good AS (
