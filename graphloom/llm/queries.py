@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, huffman_ids, language_id, license_scan, near_dedup, packing, secret_scan, threshold_topk
+from graphloom.llm import bloom_lm, decontaminate, huffman_ids, language_id, license_scan, near_dedup, packing, secret_scan, threshold_topk
 from graphloom.storage import shared_dir
 
 
@@ -55,7 +55,11 @@ def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op2_near_dedup, op3_license_scan, op4_decontaminate, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing)}
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_texts(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op2_near_dedup, op3_license_scan, op4_decontaminate, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing, op10_bloom_lm)}
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": """
 WITH good AS (
