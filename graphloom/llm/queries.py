@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bloom_lm, decontaminate, huffman_ids, language_id, license_scan, near_dedup, packing, secret_scan, threshold_topk
+from graphloom.llm import bloom_lm, decontaminate, huffman_ids, language_id, license_scan, near_dedup, packing, secret_scan, suffix_dedup, threshold_topk
 from graphloom.storage import shared_dir
 
 
@@ -27,6 +27,10 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_token_files(spark, path, ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op2_near_dedup, op3_license_scan, op4_decontaminate, op5_threshold_topk, op7_language_id, op8_secret_scan, op9_mixture_packing, op10_bloom_lm)}
+QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op2_near_dedup, op3_license_scan, op4_decontaminate, op5_threshold_topk, op6_suffix_dedup, op7_language_id, op8_secret_scan, op9_mixture_packing, op10_bloom_lm)}
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": """
 WITH good AS (
