@@ -92,6 +92,18 @@ class _Predict:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
 
+class Accept:
+    """Batch function that keeps the rows whose language is known with at least ``least`` probability."""
+
+    def __init__(self, model: tuple[list[str], ConvNet | None], least: float):
+        self.judge, self.least = _Predict(*model), least
+
+    def __call__(self, batch: pa.RecordBatch):
+        (got,) = self.judge(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"]))
+        lang, score = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy()
+        yield batch.filter(pa.array((lang != "und") & (score >= self.least)))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], ConvNet | None], keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs(text, ...)`` with ``lang_pred`` and ``score``; und and 0 for a null text or one without a letter."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
