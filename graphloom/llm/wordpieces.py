@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks and words whose ids a worker keeps; beyond it the store starts anew.
-KEPT = 400_000
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+from graphloom.llm.textbytes import expand
+
+#: Words whose ids a worker keeps, about 200 bytes each; beyond it the store starts anew.
+KEPT = 700_000
+_PLAIN = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\\[-`{-~]*)")
 
 
 class Encoder:
@@ -39,11 +42,10 @@ class Encoder:
         drops = '"behavior": "Removed", "invert": true' in pre and "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and "[\\\\p{L}]+" in pre
         self.parts = drops and "Lowercase" in json.dumps(spec.get("normalizer")) and model["type"] == "BPE"
         self.tokenizer_model = self.tokenizer.model
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         table = _byte_letters()
-        self.letters = {chr(c): "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.trans = str.maketrans(self.letters)
+        self.trans = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -51,34 +53,28 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        low = word.lower()
-        got = self.words.get(low)
+    def _word(self, word: str) -> bytes:
+        got = self.kept.get(word)
         if got is None:
-            got = self.words[low] = tuple([t.id for t in self.tokenizer_model.tokenize(low.translate(self.trans))])
+            ids = [t.id for t in self.tokenizer_model.tokenize(word if word.isascii() else word.lower().translate(self.trans))]
+            got = self.kept[word] = array("I", ids).tobytes()
         return got
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.kept) > KEPT:
             self.kept = {}
-        if len(self.words) > KEPT:
-            self.words = {}
-        kept, match, word = self.kept, _PLAIN.fullmatch, self._word
-        out: list = [None] * len(chunks)
+        match, word = _PLAIN.fullmatch, self._word
+        out = list(map(self.kept.get, chunks))
         rest = []
-        for i, c in enumerate(chunks):
-            got = kept.get(c)
+        for i, got in enumerate(out):
             if got is None:
-                m = match(c)
+                m = match(chunks[i])
                 if m is None:
                     rest.append(i)
-                    continue
-                got = word(m[1]) + word(m[2]) if m[2] else word(m[1])
-                if len(got) <= 12:
-                    kept[c] = got
-            out[i] = got
+                else:
+                    out[i] = word(m[1]) + word(m[2]) if m[2] else word(m[1])
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else []):
-            out[i] = tuple(e.ids)
+            out[i] = array("I", e.ids).tobytes()
         return out
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +87,17 @@ class Encoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(col.to_pylist(), add_special_tokens=False)]
             flat = np.fromiter((x for e in ids for x in e), np.uint32, sum(map(len, ids)))
             return flat, np.array([len(e) for e in ids], np.int64)
-        split = pc.split_pattern(pc.replace_substring(col, "\n", " "), " ")
+        low = pc.ascii_lower(col)
+        if any(pc.any(pc.match_substring(low, t.lower())).as_py() for t in self.specials):
+            low = col  # special tokens are matched as they are written
+        split = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         ids = self._chunks(coded.dictionary.to_pylist())
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(count.sum()))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.concatenate(([0], np.cumsum(count)))[:-1] if len(count) else np.zeros(0, np.int64)
         which = coded.indices.to_numpy()
         sizes = count[which]
-        from graphloom.llm.textbytes import expand
-
         out = flat[expand(first[which], sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         at = split.offsets.to_numpy()
