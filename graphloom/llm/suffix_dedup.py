@@ -34,6 +34,8 @@ from graphloom.storage import Stage
 
 LENGTH, GRAM = 400, 32
 TEXT_BYTES, GROUP = 1 << 20, 1024
+#: Bytes of text whose anchors are found at once; longer texts go piece by piece, which parts stretches but no window.
+PIECE = 2 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +201,16 @@ class _Anchors:
 
     def __call__(self, batch: pa.RecordBatch):
         data, offsets = layout(batch.column("text"))
-        place, h, first, count = anchors(data, offsets, self.length, self.gram)
+        if len(offsets) > 2 or len(data) <= 2 * PIECE:
+            got = anchors(data, offsets, self.length, self.gram)
+        else:
+            parts = []
+            for a in range(0, len(data) - self.length + 1, PIECE):
+                part = data[a : a + PIECE + self.length - 1]
+                p, h, w, c = anchors(part, np.array([0, len(part)]), self.length, self.gram)
+                parts.append((p + a, h, w + a, c))
+            got = tuple(map(np.concatenate, zip(*parts)))
+        place, h, first, count = got
         text = np.searchsorted(offsets, first, "right") - 1
         blob = memoryview(np.ascontiguousarray(data))
         stretch = [xxhash.xxh3_128_digest(blob[a : a + n + self.length - 1]) for a, n in zip(first.tolist(), count.tolist())]
@@ -310,7 +321,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     long = text.where(F.octet_length("text") >= length)
     # one row for each different text; copies of a whole text need no further look
     copies = stage.table("keys", long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
-    found = stage.table("anchors", map_texts(long.select("key", "text"), _Anchors(length, gram), "key string, anchor long, stretch binary, first int, windows int"))
+    found = stage.table("anchors", map_texts(long.select("key", "text"), _Anchors(length, gram), "key string, anchor long, stretch binary, first int, windows int", PIECE))
     # different stretches of each anchor, with one place of each; map-side sums, so copies meet as one row a task
     place = F.struct("key", "first", "windows")
     kinds = stage.table("stretches", found.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))

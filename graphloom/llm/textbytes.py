@@ -28,8 +28,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose function gets batches of about SLICE_BYTES of column ``text``.
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` whose function gets batches of about ``slice_bytes`` of column ``text``.
 
     ``fn`` may have a ``finish`` attribute, called at the end of each task for
     what it still holds; ``fn`` is pickled anew for each task.
@@ -44,7 +44,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             at = 0
             while at < len(col):
                 base = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+                to = max(at + 1, int(np.searchsorted(sizes, base + slice_bytes, "right")))
                 yield from fn(batch.slice(at, to - at))
                 at = to
         if hasattr(fn, "finish"):

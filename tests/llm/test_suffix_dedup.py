@@ -48,9 +48,10 @@ def test_windows_of_an_anchor_are_equal_for_equal_strings():
     assert all(by[100 + k] == by[2000 + k] for k in range(361))
 
 
-@pytest.mark.parametrize("group", [1024, 2])
-def test_against_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,piece", [(1024, 1 << 20), (2, 1 << 20), (1024, 100)])
+def test_against_brute_force(spark, monkeypatch, group, piece):
     monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "PIECE", piece)
     monkeypatch.setattr(S, "TEXT_BYTES", 4000)
     rng = random.Random(3)
     word = lambda n: " ".join(rng.choice(["alpha", "béta", "gam", "d", "epsilon é"]) + str(rng.randrange(99)) for _ in range(n))
