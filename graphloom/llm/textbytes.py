@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text that one call of a batch function gets, at least one row.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
