@@ -9,8 +9,9 @@ are compared, and a weighted Jaccard similarity of at least ``threshold``
 links them. Groups are the connected components of the links.
 
 Comparisons: every node of a band's bucket with the bucket's least node, then,
-where a bucket still has several components, every pair from different ones in
-blocks, if their samples agree often enough for the threshold. So copies of one
+where a bucket still has several components, every pair from different ones,
+if their samples agree often enough for the threshold. These pairs are tried
+block by block where the blocks are, and only links come out. So copies of one
 text cost their number, not its square, and no bucket is gathered in one task.
 """
 
@@ -35,7 +36,7 @@ HASHES, BANDS = 64, 16
 SKETCH = 1 << 19
 #: Least share of equal samples at which a pair from different components is compared; 0.8 gives less with a chance under 1e-4.
 AGREE = 0.58
-BLOCK, SALT = 256, 256
+BLOCK, SALT = 128, 256
 _CODES = 4096
 
 
@@ -222,26 +223,45 @@ def _bands(batches):
         key = np.zeros((len(b), BANDS), np.uint64)
         for k in range(width):
             key = mix(key * np.uint64(0x9FB21C651E98DF25) + sig[:, :, k] + np.arange(BANDS, dtype=np.uint64)[None])
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], ["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], ["bucket", "band", "node"])
 
 
 def _across(threshold: float):
-    """Pairs of two blocks of a bucket from different components whose samples agree often enough."""
+    """Links between different components of two blocks of a bucket.
+
+    A pair is tried in the first band it shares, if its samples agree often
+    enough, and as long as nothing in the two blocks has joined its components.
+    """
 
     def run(batches):
+        width = HASHES // BANDS
         for b in batches:
             out: list[list] = [[], []]
-            for one, two in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s1, s2 = (np.frombuffer(b"".join(x["sig"] for x in side), np.uint32).reshape(len(side), -1) for side in (one, two))
-                comps = {c: i for i, c in enumerate({x["component"] for x in one} | {x["component"] for x in two})}
-                c2 = np.array([comps[x["component"]] for x in two])
-                for x, sig in zip(one, s1):
-                    good = np.flatnonzero(((s2 == sig).mean(1) >= threshold * AGREE / 0.8) & (c2 != comps[x["component"]]))
-                    for j in good.tolist():
-                        lo, hi = sorted((x["node"], two[j]["node"]))
-                        out[0].append(hi)
-                        out[1].append(lo)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["a", "hub"])
+            for band, one, two in zip(*(b.column(i).to_pylist() for i in range(3))):
+                root: dict[str, str] = {}
+
+                def find(c):
+                    while root.get(c, c) != c:  # noqa: B023
+                        c = root[c]  # noqa: B023
+                    return c
+
+                sigs = [np.frombuffer(b"".join(x["sig"] for x in side), np.uint32).reshape(len(side), -1) for side in (one, two)]
+                vecs = [[np.frombuffer(x["vector"], np.uint64) for x in side] for side in (one, two)]
+                sums = [np.array([int((v & np.uint64(0xFFFF)).sum()) for v in side], float) for side in vecs]
+                comp = np.array([x["component"] for x in two])
+                for i, x in enumerate(one):
+                    same = sigs[1] == sigs[0][i]
+                    share = np.minimum(sums[1], sums[0][i]) / np.maximum(sums[1], sums[0][i])
+                    good = (same.mean(1) >= threshold * AGREE / 0.8) & (share >= threshold) & (comp != x["component"])
+                    good &= same.reshape(len(two), BANDS, width).all(2).argmax(1) == band
+                    at = np.flatnonzero(good)
+                    for j in at[np.argsort(-same[at].mean(1), kind="stable")].tolist():
+                        c, d = find(x["component"]), find(two[j]["component"])
+                        if c != d and weighted_jaccard(vecs[0][i], vecs[1][j]) >= threshold:
+                            root[c] = d
+                            out[0].append(x["node"])
+                            out[1].append(two[j]["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["src", "dst"])
 
     return run
 
@@ -259,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = Weights(folded(map_texts(text.select("text"), _Sketch(), PIECES), 2 * SKETCH, np.int64), text.count())
     signed = stage.table("signed", map_texts(text, _Sign(weights), "doc_id long, node string, sig binary"))
     nodes = stage.table("nodes", signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
-    buckets = stage.table("buckets", nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node string"))
+    buckets = stage.table("buckets", nodes.select("node", "sig").mapInArrow(_bands, "bucket long, band int, node string"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = buckets.join(hubs, "bucket")
     pairs = stage.table("pairs", shared.where("node <> hub").select(F.col("node").alias("a"), "hub").distinct())
@@ -270,17 +290,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = stage.table("links", _links(pairs, vectors, threshold))
     joined = stage.table("components", connected_components(links, stage, "cc1"))
     # buckets that still hold several components
-    placed = shared.select("bucket", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.select("bucket", "band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("bucket", "blocks")
-    member = placed.join(open_, "bucket").join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    entry = F.struct("node", "component", "sig").alias("x")
-    block = member.groupBy("bucket", "blocks", "block").agg(F.collect_list(entry).alias("xs"))
-    block = stage.table("blocks", block)
-    left = block.select("bucket", F.col("block").alias("i"), F.col("xs").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    member = placed.join(open_, "bucket").join(nodes.select("node", "sig"), "node").join(vectors, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    block = stage.table("blocks", member.groupBy("bucket", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "component", "sig", "vector")).alias("xs")))
+    left = block.select("bucket", "band", F.col("xs").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = block.select("bucket", F.col("block").alias("j"), F.col("xs").alias("two"))
-    cross = left.join(right, ["bucket", "j"]).select("one", "two").mapInArrow(_across(threshold), "a string, hub string").distinct()
-    cross = stage.table("cross", cross)
-    more = stage.table("more", _links(cross, vectors, threshold))
+    more = stage.table("more", left.join(right, ["bucket", "j"]).select("band", "one", "two").mapInArrow(_across(threshold), "src string, dst string"))
     stage.drop("buckets", "blocks", "vectors")
     if not more.isEmpty():
         joined = stage.table("all-components", connected_components(links.union(more), stage, "cc2"))
