@@ -200,7 +200,7 @@ _plan("bulk_write_unfiltered", OPS, "SELECT routine, tab, count(*) AS writes FRO
 _plan("validate_without_persist", OPS, "SELECT routine, count(*) AS locks FROM ops WHERE op = 'lock' GROUP BY routine HAVING routine NOT IN (SELECT routine FROM ops WHERE op IN ('insert', 'modify'))",
       "SELECT routine, count_if(op = 'lock') AS locks FROM ops GROUP BY routine HAVING count_if(op = 'lock') > 0 AND count_if(op IN ('insert', 'modify')) = 0")
 _plan("repeated_lookup", OPS, "SELECT routine, op, count(*) AS n, count(DISTINCT tab) AS tabs FROM ops WHERE op = 'read' GROUP BY routine, op HAVING count(*) > 1")
-_plan("constant_parameter", OPS, "SELECT part, min(CASE WHEN in_loop THEN 1 ELSE 0 END) AS only_value, count(*) AS calls FROM ops GROUP BY part HAVING count(DISTINCT in_loop) = 1 AND count(*) > 1")
+_plan("constant_parameter", OPS, "SELECT routine, min(op) AS only_value, count(*) AS calls FROM ops GROUP BY routine HAVING count(DISTINCT op) = 1 AND count(*) > 1")
 _plan("clone_before_write", OPS, ", s AS (SELECT *, lead(op) OVER (PARTITION BY routine ORDER BY ord) AS nxt FROM ops) SELECT routine, ord, tab FROM s WHERE op = 'read' AND nxt IN ('insert', 'modify')")
 _plan("cross_app_edges", CALLS, ", apps AS (SELECT o.o_orderkey AS id, c.c_nationkey AS app, o.o_orderpriority AS pr FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) SELECT a.app, b.pr AS callee_priority, count(*) AS edges FROM calls e JOIN apps a ON e.src = a.id JOIN apps b ON e.dst = b.id GROUP BY a.app, b.pr")
 _plan("obsolete_calls", CALLS, f", {ROUTINES} SELECT e.src, e.dst, r.access FROM calls e JOIN routines r ON e.dst = r.id WHERE r.access = 'local' AND r.kind = 'trigger'")
