@@ -6,7 +6,8 @@ Windows of one anchor follow one another, and the bytes they cover are the
 anchor's stretch. Only anchors whose hash stands more than once can repeat.
 Equal stretches repeat throughout; they are counted first, so copies cost one
 row. What is left are different stretches with one anchor hash (edges of copied
-passages).
+passages); of these, a filter that loses none keeps those that share a string
+nearly as long as a window around the anchor with another.
 
 Exact part. Stretches of whole anchor groups are joined to texts of about
 TEXT_BYTES. Over such a text's transform, breadth-first backward extension
@@ -34,6 +35,8 @@ from graphloom.storage import Stage
 
 LENGTH, GRAM = 400, 32
 TEXT_BYTES, GROUP = 1 << 20, 1024
+#: Ways to part a window around its anchor, in the filter before the exact part.
+SPLITS = 8
 #: Bytes of text whose anchors are found at once; longer texts go piece by piece, which parts stretches but no window.
 PIECE = 2 << 20
 
@@ -190,6 +193,30 @@ def repeated_windows(stretches: list[bytes], length: int) -> list[np.ndarray]:
     return [hit[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def related(stretches: list[bytes], anchor: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Whether each stretch could share a window with another of its anchor.
+
+    A shared window reaches some bytes left of the anchor and the rest right of
+    it. Rounded down to one of SPLITS ways to part them, it is a string around the
+    anchor, a little shorter than the window, which both stretches hold. So a
+    stretch none of whose strings stands elsewhere has no repeated window.
+    """
+    gram = min(gram, length)
+    width, sizes = length - gram, np.array([len(s) for s in stretches])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    hasher = Hasher(np.frombuffer(b"".join(stretches), np.uint8))
+    at = (starts + sizes - length)[:, None] + np.arange(width + 1)[None]  # the anchor is its hash's first place from the last window on
+    same = (hasher.grams(gram)[at] >> np.uint64(1)) == (anchor.view(np.uint64) >> np.uint64(1))[:, None]
+    place = at[np.arange(len(sizes)), same.argmax(1)]
+    step, keep = -(-width // SPLITS), np.zeros(len(sizes), bool)
+    for k in range(SPLITS):
+        lo, hi = place - min(width, k * step), place + gram + max(0, width - (k + 1) * step)
+        ok = np.flatnonzero((lo >= starts) & (hi <= starts + sizes))
+        _, inverse, n = np.unique(hasher.slices(lo[ok], hi[ok]) ^ anchor[ok].view(np.uint64), return_inverse=True, return_counts=True)
+        keep[ok] |= n[inverse] > 1
+    return keep
+
+
 def runs(flag: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flag.astype(np.int8), [0]))))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
@@ -237,27 +264,36 @@ def _cut(length: int):
     return run
 
 
-def _resolve(length: int):
+def _resolve(length: int, gram: int):
     """Repeated runs of windows of stretches that stand alone; rows come sorted by anchor."""
 
     def run(batches):
-        held, room = [], 0
+        held, left = [], []  # stretches as they come, and those that the filter has left
 
-        def done():
-            got = repeated_windows([r[3] for r in held], length)
-            rows = [(r[0], r[1] + a, r[1] + z - 1 + length) for r, flag in zip(held, got) if r[2] for a, z in runs(flag)]
+        def sift():
+            keep = related([r[3] for r in held], np.array([r[4] for r in held], np.int64), length, gram)
+            left.extend(r for r, k in zip(held, keep.tolist()) if k)
             held.clear()
+
+        def done():
+            got = repeated_windows([r[3] for r in left], length)
+            rows = [(r[0], r[1] + a, r[1] + z - 1 + length) for r, flag in zip(left, got) if r[2] for a, z in runs(flag)]
+            left.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["key", "lo", "hi"])
 
-        last = None
+        last, room = None, 0
         for b in batches:
             for key, anchor, first, alone, blob in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if room > TEXT_BYTES and anchor != last:
-                    yield done()
+                    sift()
                     room = 0
-                held.append((key, first, alone, blob))
+                    if sum(len(r[3]) + 1 for r in left) > TEXT_BYTES:
+                        yield done()
+                held.append((key, first, alone, blob, anchor))
                 room, last = room + len(blob) + 1, anchor
         if held:
+            sift()
+        if left:
             yield done()
 
     return run
@@ -335,7 +371,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     cut = stage.table("cut", one.mapInArrow(_cut(length), "key string, anchor long, first int, alone boolean, bytes binary").distinct())
     large = groups.where(F.col("kinds") > GROUP).select("anchor")
     small = cut.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("key", "anchor", "first", "alone", "bytes")
-    parts = small.mapInArrow(_resolve(length), "key string, lo long, hi long")
+    parts = small.mapInArrow(_resolve(length, gram), "key string, lo long, hi long")
     each = cut.join(large, "anchor").select("key", "first", "alone", "bytes").mapInArrow(_each_window(length), "key string, lo long, alone boolean, w binary")
     each = stage.table("each", each)
     twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
