@@ -5,9 +5,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.queries import carrier_queries
+from graphloom.queries import carrier_queries, operator_queries
 
-CHEAP = [k for k in carrier_queries.QUERIES if k not in {"transaction_span_payload", "dead_routines", "scc_components", "recursive_event_expansion"}]
+ALL = {**carrier_queries.QUERIES, **operator_queries.QUERIES}
+ORACLES = {**carrier_queries.ORACLES, **operator_queries.ORACLES}
+CHEAP = [k for k in ALL if k not in {"transaction_span_payload", "dead_routines", "scc_components", "recursive_event_expansion"}]
 
 
 def shown(x):
@@ -19,9 +21,9 @@ def test_query_matches_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for f in glob.glob(f"{sf_dir}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    rel = con.execute(carrier_queries.ORACLES[name])
+    rel = con.execute(ORACLES[name])
     cols = [c[0] for c in rel.description]
-    df = carrier_queries.QUERIES[name](spark, sf_dir)
+    df = ALL[name](spark, sf_dir)
     assert sorted(df.columns) == sorted(cols)
     got = sorted(tuple(map(shown, r)) for r in df.select(cols).collect())
     assert got == sorted(tuple(map(shown, r)) for r in rel.fetchall())
