@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into runs of GRAM words. One pass over the documents notes
-every place where such a run stands and keeps the passage around it, as word
-hashes. Runs are counted over all documents; an item's seeds are the rarest
-half of its runs, RARE of them at least, and only passages that hold a seed are
-aligned with the item. The alignment is local over words: +1 for an equal word,
+every place where such a run stands and takes the passage around it, as word
+hashes. Every run is a seed. A passage is aligned with the item unless so few of
+the item's words stand in it that no alignment can reach the threshold; this
+bound loses nothing. The alignment is local over words: +1 for an equal word,
 -1 for another word, an extra or a missing one, divided by the item's length.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.textbytes import Words, gram_hashes, gram_places, layout, lowered, map_texts
 from graphloom.storage import Stage
 
-GRAM, RARE, MIN_ITEM, THRESHOLD = 5, 16, 3, 0.5
+GRAM, MIN_ITEM, THRESHOLD = 5, 3, 0.5
 #: Words of test items that one pass over the documents holds.
 ITEM_WORDS = 2_000_000
 
@@ -26,7 +26,8 @@ ITEM_WORDS = 2_000_000
 class Items:
     """Word hashes of the test items and their runs; items under MIN_ITEM words take no part."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, threshold: float = THRESHOLD):
+        self.threshold = threshold
         data, offsets = layout(pa.array([t or "" for t in texts], pa.string()))
         data = lowered(data)
         words = Words(data, offsets)
@@ -51,7 +52,8 @@ class Items:
         self.lengths = sorted({min(GRAM, int(n)) for n in self.sizes})
 
     def slack(self, size):
-        return size // 3 + 2
+        """No fewer words than an alignment that reaches the threshold can have extra or missing."""
+        return np.ceil(size * max(0.0, 1 - self.threshold)).astype(np.int64) + 2
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the gram, entry of the item runs) of every equal pair."""
@@ -67,7 +69,7 @@ class Items:
 
 
 class _Find:
-    """Rows (doc_id, item, at, entries, passage): one for each item and stretch of alignments of a document."""
+    """Rows (doc_id, item, at, passage): one for each item and stretch of alignments of a document that may reach the threshold."""
 
     def __init__(self, items: Items):
         self.items = items
@@ -94,25 +96,30 @@ class _Find:
         item = it.owner[entry]
         slack = it.slack(it.sizes[item])
         bucket = (place - words.first[text] - it.place[entry]) // slack
-        order = np.lexsort((entry, bucket, item, text))
-        text, item, bucket, entry, slack = (x[order] for x in (text, item, bucket, entry, slack))
+        order = np.lexsort((bucket, item, text))
+        text, item, bucket, slack = (x[order] for x in (text, item, bucket, slack))
         new = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(bucket) != 0))))
-        ends = np.append(new[1:], len(text))
         lo = np.maximum((bucket[new] - 1) * slack[new], 0)
         hi = (bucket[new] + 2) * slack[new] + it.sizes[item[new]]
         first, last = words.first[text[new]], words.first[text[new] + 1]
-        passages = [h[min(f + a, z) : min(f + b, z)].tobytes() for f, a, b, z in zip(first.tolist(), lo.tolist(), hi.tolist(), last.tolist())]
+        places = [(min(f + a, z), min(f + b, z)) for f, a, b, z in zip(first.tolist(), lo.tolist(), hi.tolist(), last.tolist())]
+        keep = np.array([self.reaches(i, h[a:z]) for i, (a, z) in zip(item[new].tolist(), places)])
+        new, lo = new[keep], lo[keep]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()).take(pa.array(text[new])),
                 pa.array(item[new], pa.int32()),
                 pa.array(lo, pa.int64()),
-                pa.array([np.unique(entry[a:z]).astype(np.int32) for a, z in zip(new.tolist(), ends.tolist())], pa.list_(pa.int32())),
-                pa.array(passages, pa.binary()),
+                pa.array([h[a:z].tobytes() for (a, z), k in zip(places, keep.tolist()) if k], pa.binary()),
             ],
-            ["doc_id", "item", "at", "entries", "passage"],
+            ["doc_id", "item", "at", "passage"],
         )
 
+    def reaches(self, item: int, passage: np.ndarray) -> bool:
+        """Whether enough of the item's words stand in the passage: a score is at most their share."""
+        own = self.items.words[item]
+        return int(np.isin(own, passage).sum()) / len(own) >= self.items.threshold
+
 
 def smith_waterman(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best local score, place in the passage after its end) of each row pair; 0 pads items, 1 passages."""
@@ -133,8 +140,8 @@ def smith_waterman(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
 
 
 class _Align:
-    def __init__(self, items: Items, threshold: float):
-        self.items, self.threshold = items, threshold
+    def __init__(self, items: Items):
+        self.items, self.threshold = items, items.threshold
 
     def __call__(self, batches):
         it = self.items
@@ -185,26 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def _share(docs: DataFrame, benchmark: DataFrame, threshold: float, stage: Stage) -> DataFrame:
     rows = sorted(benchmark.collect(), key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-    items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-    found = stage.table("passages", map_texts(docs, _Find(items), "doc_id long, item int, at long, entries array<int>, passage binary"))
-    counts = np.zeros(len(items.gram), np.int64)
-    for r in found.select(F.explode("entries").alias("e")).groupBy("e").count().collect():  # bounded by the items' runs
-        counts[r["e"]] = r["count"]
-    seeds = np.zeros(len(counts), bool)
-    order = np.lexsort((items.place, counts, items.owner))
-    rank = np.arange(len(order)) - np.searchsorted(items.owner[order], items.owner[order])
-    size = np.bincount(items.owner, minlength=len(items.words))[items.owner[order]]
-    seeds[order] = rank < np.maximum(RARE, -(-size // 2))
-
-    def with_seed(batches):
-        for b in batches:
-            lists = b.column(3)
-            off = lists.offsets.to_numpy()
-            hit = np.concatenate(([0], np.cumsum(seeds[lists.flatten().to_numpy()])))
-            off = off - off[0]
-            keep = pa.array(hit[off[1:]] > hit[off[:-1]])
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1, 2, 4)], ["doc_id", "item", "at", "passage"])
-
-    seeded = found.mapInArrow(with_seed, "doc_id long, item int, at long, passage binary")
-    aligned = seeded.mapInArrow(_Align(items, threshold), "doc_id long, item_id long, item int, end_word long, score double")
+    items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold)
+    found = stage.table("passages", map_texts(docs, _Find(items), "doc_id long, item int, at long, passage binary"))
+    aligned = found.mapInArrow(_Align(items), "doc_id long, item_id long, item int, end_word long, score double")
     return aligned.select("doc_id", "item_id", "end_word", "score")

@@ -73,3 +73,18 @@ def test_items_in_several_passes_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, D.contaminated(docs, bm).collect()))
     monkeypatch.setattr(D, "ITEM_WORDS", 20)
     assert sorted(map(tuple, D.contaminated(docs, bm).collect())) == one and len(one) >= 20
+
+
+def test_edited_and_partial_copies_are_found_however_often_they_stand(spark):
+    sizes = (26, 39, 59)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    cuts = []
+    for k, t in enumerate(items):
+        cuts += [(k, [f"x{j}" if j % step == step - 1 else w for j, w in enumerate(t)]) for step in (6, 7)]
+        cuts.append((k, t[: -(-52 * len(t) // 100)]))
+        cuts.append((k, t[: len(t) // 2] + [f"y{j}" for j in range(len(t) * 45 // 100)] + t[len(t) // 2 :]))  # one long insertion
+    docs = [(c * 100 + copy, f"some words before {' '.join(body)} and some after") for c, (_, body) in enumerate(cuts) for copy in range(1 if c % 2 else 30)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {(d, cuts[d // 100][0]): align(items[cuts[d // 100][0]], t.split()) / sizes[cuts[d // 100][0]] for d, t in docs}
+    assert min(want.values()) >= D.THRESHOLD and got == want
