@@ -27,9 +27,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.token_table import token_table, unpack
 from graphloom.storage import Stage, bounded_broadcast
 
-WEIGHT_BITS = 14
-#: More sources than this share queues by hash.
-MAX_QUEUES = 256
+WEIGHT_BITS = 30
 #: Rows of (part, queue) offsets up to which they are broadcast.
 OFFSET_ROWS = 1_000_000
 
@@ -37,57 +35,71 @@ OFFSET_ROWS = 1_000_000
 class Schedule:
     """The order in which deficit round-robin with a quantum of one token sends the queues' tokens.
 
-    In a cycle every queue sends its weight in tokens, in order of credit date.
-    Cycles repeat until a queue has less than its weight left; that cycle is cut
-    short, and the next phase goes on without the queue.
+    Tokens go by credit date, (place + 1) / weight, ties in queue order; a queue
+    that has ended sends no more. Time and memory of a call grow with the number
+    of queues, not with its square.
     """
 
+    #: Ranks times queues that are worked on at once.
+    CELLS = 1 << 20
+
     def __init__(self, totals: np.ndarray, weights: np.ndarray):
-        self.totals = totals.astype(np.int64)
-        self.phases: list[tuple[int, np.ndarray, np.ndarray, int]] = []  # first rank, sent before, in a cycle, cycles
-        rank, sent = 0, np.zeros(len(totals), np.int64)
-        while (left := self.totals - sent).any():
-            per = np.where(left > 0, weights, 0)
-            cycles = int((left[per > 0] // per[per > 0]).min())
-            if not cycles:
-                per, cycles = np.minimum(per, left), 1
-            self.phases.append((rank, sent, per, cycles))
-            rank, sent = rank + int(per.sum()) * cycles, sent + per * cycles
-        self.weights, self.total = weights, rank
-        self.starts = np.array([p[0] for p in self.phases], np.int64)
-        self.kept: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-    def cycle(self, phase: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(tokens of each queue before each place of the cycle, places of each queue)."""
-        if phase not in self.kept:
-            if len(self.kept) >= 4:
-                self.kept.clear()
-            per = self.phases[phase][2]
-            queue = np.repeat(np.arange(len(per)), per)
-            k = np.concatenate([np.arange(1, n + 1) for n in per])
-            order = queue[np.lexsort((queue, k / self.weights[queue]))]
-            before = np.zeros((len(order) + 1, len(per)), np.int32)
-            before[np.arange(1, len(order) + 1), order] = 1
-            self.kept[phase] = np.cumsum(before, 0, dtype=np.int32), [np.flatnonzero(order == q) for q in range(len(per))]
-        return self.kept[phase]
+        self.totals, self.weights = totals.astype(np.float64), weights.astype(np.float64)
+        self.total = int(totals.sum())
+        ends = self.totals / self.weights
+        order = np.argsort(ends)
+        self.ends = np.concatenate(([0.0], ends[order]))
+        speed = self.weights.sum() - np.concatenate(([0.0], np.cumsum(self.weights[order])))[:-1]
+        self.by_end = np.concatenate(([0.0], np.cumsum(np.diff(self.ends) * speed)))  # tokens until each end, as if they could be parted
+
+    def until(self, date: np.ndarray) -> np.ndarray:
+        """Tokens of each queue up to a date, one row for each date."""
+        date = date[:, None]
+        n = np.floor(date * self.weights)
+        n += (n + 1) / self.weights <= date
+        n -= n / self.weights > date
+        return np.minimum(n, self.totals)
+
+    def date(self, rank: np.ndarray) -> np.ndarray:
+        """Date of the last of the first ``rank`` tokens, ``rank`` at least 1."""
+        near = lambda x: np.interp(x, self.by_end, self.ends)
+        lo, hi = near(rank - 2.0) * (1 - 1e-9), near(rank + len(self.totals) + 2.0) * (1 + 1e-9)
+        lo = np.where(self.until(lo).sum(1) < rank, lo, 0.0)
+        hi = np.where(self.until(hi).sum(1) >= rank, hi, self.ends[-1])
+        out, open_ = hi.copy(), np.arange(len(rank))
+        while len(open_):
+            n = self.until(lo)
+            after = np.where(n < self.totals, (n + 1) / self.weights, np.inf).min(1)  # the first date after lo
+            mid = np.clip((lo + hi) / 2, after, hi)
+            n = self.until(mid)
+            enough = n.sum(1) >= rank[open_]
+            hi = np.where(enough, np.where(n > 0, n / self.weights, 0).max(1), hi)  # the last date up to mid
+            lo = np.where(enough, lo, mid)
+            out[open_] = hi
+            more = ~(enough & (hi <= after))
+            lo, hi, open_ = lo[more], hi[more], open_[more]
+        return out
 
     def sent(self, rank: np.ndarray) -> np.ndarray:
         """Tokens of each queue among the first ``rank`` tokens, one row for each rank."""
         out = np.zeros((len(rank), len(self.totals)), np.int64)
-        which = np.clip(np.searchsorted(self.starts, rank, "right") - 1, 0, None)
-        for p in np.unique(which):
-            at = which == p
-            first, sent, per, _ = self.phases[p]
-            turn, rest = np.divmod(rank[at] - first, int(per.sum()))
-            out[at] = sent + turn[:, None] * per + self.cycle(p)[0][rest]
+        some = np.flatnonzero(rank > 0)
+        step = max(1, self.CELLS // max(1, len(self.totals)))
+        for a in range(0, len(some), step):
+            at = some[a : a + step]
+            date = self.date(rank[at])
+            n = self.until(date)
+            tied = (n > 0) & (n / self.weights == date[:, None])
+            over = n.sum(1) - rank[at]  # of the tokens of this very date the last queues' wait
+            n -= tied & (np.cumsum(tied[:, ::-1], 1)[:, ::-1] <= over[:, None])
+            out[at] = n
         return out
 
     def rank(self, queue: int, place: int) -> int:
         """Tokens sent before the ``place``-th of a queue."""
-        p = max(i for i, x in enumerate(self.phases) if x[1][queue] <= place and x[2][queue])
-        first, sent, per, _ = self.phases[p]
-        turn, rest = divmod(place - int(sent[queue]), int(per[queue]))
-        return first + turn * int(per.sum()) + int(self.cycle(p)[1][queue][rest])
+        date = np.array([(place + 1) / self.weights[queue]])
+        n = self.until(date)[0]
+        return int(n.sum()) - int(((n > 0) & (n / self.weights == date))[queue:].sum())
 
 
 def scaled(totals: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
@@ -123,7 +135,8 @@ class _Cut:
             rank += [at for at, _ in self.tail]
             size += [n for _, n in self.tail]
         rank = np.array(rank, np.int64)
-        begin, end = self.schedule.sent(rank), self.schedule.sent(rank + np.array(size, np.int64))
+        edges, back = np.unique(np.concatenate((rank, rank + np.array(size, np.int64))), return_inverse=True)
+        begin, end = np.split(self.schedule.sent(edges)[back], 2)
         return np.array(seq), begin[:, queue], (end - begin)[:, :queue].sum(1), end[:, queue]
 
     def __call__(self, batches):
@@ -171,16 +184,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     ``docs(doc_id, text, <source>)``. Null and empty texts hold the end id alone;
     null sources form a queue of their own; repeated rows are packed as often as
     they come; an empty table gives no piece. ``shares`` sets target proportions
-    by source (absent ones: their natural share). Over MAX_QUEUES sources share
-    queues by hash. ``length`` must be a power of two.
+    by source (absent ones: their natural share). Each source has a queue of its
+    own, however many there are. ``length`` must be a power of two.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
     stage = Stage(spark, "packing")
     named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
-    if docs.select(source).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        named = F.concat(F.lit("#"), F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(MAX_QUEUES)).cast("string"))
     tokens = token_table(docs.select("doc_id", "text", named.alias("queue")), stage, tokenizer_path, end_id, "queue")
     sums = stage.table("sums", tokens.groupBy("part", "queue").agg(F.sum(F.abs("n").cast("long")).alias("total")))
     rows = sums.groupBy("queue").agg(F.sum("total").alias("total")).orderBy("queue").collect()

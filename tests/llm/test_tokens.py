@@ -105,3 +105,36 @@ def test_empty_table(spark, tmp_path):
     H.write_token_files(docs, f"file://{tmp_path}/none", word_tokenizer(), 2)
     assert H.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
     assert P.pack(docs, word_tokenizer()).count() == 0
+
+
+def test_schedule_against_sorted_credit_dates():
+    rng = np.random.default_rng(4)
+    for totals, weights in [(rng.integers(1, 60, 40), None), (np.array([7, 7, 7, 14]), None), (rng.integers(1, 90, 12), rng.random(12)), (np.array([5]), None)]:
+        w = P.scaled(totals, weights)
+        s = P.Schedule(totals, w)
+        tokens = sorted(((k + 1) / w[q], q, k) for q, n in enumerate(totals) for k in range(n))
+        counts = np.zeros((len(tokens) + 1, len(totals)), np.int64)
+        for i, (_, q, k) in enumerate(tokens):
+            assert s.rank(q, k) == i
+            counts[i + 1] = counts[i]
+            counts[i + 1, q] += 1
+        assert (s.sent(np.arange(len(tokens) + 1)) == counts).all()
+
+
+def test_over_256_sources_keep_their_own_proportions(spark):
+    docs = [(i, "many words stand here again " * 12, "hot" if i % 2 else f"s{i // 2 % 300}") for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = P.pack(df, word_tokenizer(), 1, 512, shares={"hot": 0.2, "s0": 0.2}).collect()
+    source = {d: s for d, _, s in docs}
+    first = {s: sum(r["length"] for r in got if r["sequence_id"] == 0 and source[r["doc_id"]] == s) for s in ("hot", "s0")}
+    even = P.pack(df, word_tokenizer(), 1, 512).collect()
+    done = dict.fromkeys(source.values(), 0)
+    for w in range(sum(r["length"] for r in even) // 512):
+        for r in even:
+            if r["sequence_id"] == w:
+                done[source[r["doc_id"]]] += r["length"]
+        small = [n for s, n in done.items() if s != "hot"]  # all weigh a 300th of the hot one
+        assert max(small) - min(small) <= 1 and 300 * min(small) - 1 <= done["hot"] <= 300 * (min(small) + 1)
+    # each of the other sources weighs a 600th: it sends one token when those with a target have sent 120
+    assert all(abs(n - 120) <= 2 for n in first.values()), first
+    assert sum(r["length"] for r in got) == sum(r["length"] for r in even)
