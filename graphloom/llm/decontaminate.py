@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import Words, gram_hashes, gram_places, layout, lowered, map_texts
+from graphloom.llm.textbytes import Words, freeing, gram_hashes, gram_places, layout, lowered, map_texts
 from graphloom.storage import Stage
 
 GRAM, MIN_ITEM, THRESHOLD = 5, 3, 0.5
@@ -194,5 +194,5 @@ def _share(docs: DataFrame, benchmark: DataFrame, threshold: float, stage: Stage
     rows = sorted(benchmark.collect(), key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
     items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold)
     found = stage.table("passages", map_texts(docs, _Find(items), "doc_id long, item int, at long, passage binary"))
-    aligned = found.mapInArrow(_Align(items), "doc_id long, item_id long, item int, end_word long, score double")
+    aligned = found.mapInArrow(freeing(_Align(items)), "doc_id long, item_id long, item int, end_word long, score double")
     return aligned.select("doc_id", "item_id", "end_word", "score")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.textbytes import freeing
 from graphloom.llm.token_table import token_table, unpack
 from graphloom.storage import Stage
 
@@ -181,13 +182,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     stage = Stage(spark, "huffman")
     tokens = token_table(docs, stage, tokenizer_path, end_id)
-    rows = tokens.select("n", "ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("n", "ids").mapInArrow(freeing(_histogram), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, max(limit, int(np.ceil(np.log2(max(2, len(rows))))) + 1 if len(rows) > 1 << (limit - 1) else limit))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
-    blocks = tokens.select("part", "before", "doc_id", "n", "ids").mapInArrow(_blocks(lengths), "part int, before long, docs int, ids long, payload binary")
+    blocks = tokens.select("part", "before", "doc_id", "n", "ids").mapInArrow(freeing(_blocks(lengths)), "part int, before long, docs int, ids long, payload binary")
     blocks.sortWithinPartitions("part", "before").write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
     stage.drop("tokens")
 
@@ -216,7 +217,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     kinds = "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
-    docs = blocks.select("part", "before", "payload").mapInArrow(run, kinds)
+    docs = blocks.select("part", "before", "payload").mapInArrow(freeing(run), kinds)
     totals = blocks.groupBy("part").agg(F.sum("ids").alias("total"))  # one row for each range
     starts = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
     return docs.join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))

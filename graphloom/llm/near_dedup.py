@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sketches import PIECES, KeySet, folded, pieces
-from graphloom.llm.textbytes import Words, gram_hashes, gram_places, layout, lowered, map_texts, mix
+from graphloom.llm.textbytes import Words, freeing, gram_hashes, gram_places, layout, lowered, map_texts, mix
 from graphloom.operators.components import connected_components
 from graphloom.storage import Stage
 
@@ -213,7 +213,7 @@ def _links(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     hubs = vectors.join(salts, vectors["node"] == salts["hub"]).select("hub", "n", F.col("vector").alias("hub_vector"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
     members = pairs.join(salts, "hub").join(vectors, pairs["a"] == vectors["node"]).select("a", "hub", "vector", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("salt"))
     both = members.join(hubs.drop("n"), ["hub", "salt"]).select("a", "hub", "vector", "hub_vector")
-    return both.mapInArrow(_verify(threshold), "src string, dst string")
+    return both.mapInArrow(freeing(_verify(threshold)), "src string, dst string")
 
 
 def _bands(batches):
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = Weights(folded(map_texts(text.select("text"), _Sketch(), PIECES), 2 * SKETCH, np.int64), text.count())
     signed = stage.table("signed", map_texts(text, _Sign(weights), "doc_id long, node string, sig binary"))
     nodes = stage.table("nodes", signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
-    buckets = stage.table("buckets", nodes.select("node", "sig").mapInArrow(_bands, "bucket long, band int, node string"))
+    buckets = stage.table("buckets", nodes.select("node", "sig").mapInArrow(freeing(_bands), "bucket long, band int, node string"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = buckets.join(hubs, "bucket")
     pairs = stage.table("pairs", shared.where("node <> hub").select(F.col("node").alias("a"), "hub").distinct())
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     block = stage.table("blocks", member.groupBy("bucket", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "component", "sig", "vector")).alias("xs")))
     left = block.select("bucket", "band", F.col("xs").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = block.select("bucket", F.col("block").alias("j"), F.col("xs").alias("two"))
-    more = stage.table("more", left.join(right, ["bucket", "j"]).select("band", "one", "two").mapInArrow(_across(threshold), "src string, dst string"))
+    more = stage.table("more", left.join(right, ["bucket", "j"]).select("band", "one", "two").mapInArrow(freeing(_across(threshold)), "src string, dst string"))
     stage.drop("buckets", "blocks", "vectors")
     if not more.isEmpty():
         joined = stage.table("all-components", connected_components(links.union(more), stage, "cc2"))

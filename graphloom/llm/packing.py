@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.textbytes import freeing
 from graphloom.llm.token_table import token_table, unpack
 from graphloom.storage import Stage, bounded_broadcast
 
@@ -203,4 +204,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     offsets, _ = bounded_broadcast(offsets, OFFSET_ROWS)
     cut = _Cut(queues, Schedule(totals, scaled(totals, wanted)), length, with_ids) if rows else (lambda batches: iter(()))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return tokens.join(offsets, ["part", "queue"]).select("queue", "base", "before", "doc_id", "n", "ids").mapInArrow(cut, kinds)
+    return tokens.join(offsets, ["part", "queue"]).select("queue", "base", "before", "doc_id", "n", "ids").mapInArrow(freeing(cut), kinds)

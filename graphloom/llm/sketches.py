@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.textbytes import freeing, mix
+
 CHUNK = 1 << 14  # entries
 PIECES = "chunk int, piece binary"
 
@@ -39,14 +41,12 @@ def folded(df: DataFrame, size: int, dtype, fold: Callable = np.add) -> np.ndarr
     out = np.zeros(size, dtype)
     chunk = min(CHUNK, size)
     parts = max(1, min(64, size // chunk))
-    for r in df.repartition(parts, "chunk").mapInArrow(run, PIECES).toLocalIterator():
+    for r in df.repartition(parts, "chunk").mapInArrow(freeing(run), PIECES).toLocalIterator():
         out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(r["piece"])), dtype)
     return out
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    from graphloom.llm.textbytes import mix
-
     return mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
@@ -67,7 +67,7 @@ class KeySet:
                 own.add(b.column(0).drop_null().to_numpy())
             yield from pieces(own.array)
 
-        made.array = folded(keys.mapInArrow(run, PIECES), bits // 8, np.uint8, np.bitwise_or)
+        made.array = folded(keys.mapInArrow(freeing(run), PIECES), bits // 8, np.uint8, np.bitwise_or)
         return made
 
     def add(self, keys: np.ndarray) -> None:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import Hasher, layout, map_texts
+from graphloom.llm.textbytes import Hasher, freeing, layout, map_texts
 from graphloom.storage import Stage
 
 LENGTH, GRAM = 400, 32
@@ -368,11 +368,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     wanted = group.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "windows", (F.col("places") == 1).alias("alone"))).alias("wanted"))
     wanted = wanted.join(copies.select(F.col("key").alias("of"), "rep"), F.col("key") == F.col("of")).select("of", "rep", "wanted")
     one = long.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "wanted")
-    cut = stage.table("cut", one.mapInArrow(_cut(length), "key string, anchor long, first int, alone boolean, bytes binary").distinct())
+    cut = stage.table("cut", one.mapInArrow(freeing(_cut(length)), "key string, anchor long, first int, alone boolean, bytes binary").distinct())
     large = groups.where(F.col("kinds") > GROUP).select("anchor")
     small = cut.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("key", "anchor", "first", "alone", "bytes")
-    parts = small.mapInArrow(_resolve(length, gram), "key string, lo long, hi long")
-    each = cut.join(large, "anchor").select("key", "first", "alone", "bytes").mapInArrow(_each_window(length), "key string, lo long, alone boolean, w binary")
+    parts = small.mapInArrow(freeing(_resolve(length, gram)), "key string, lo long, hi long")
+    each = cut.join(large, "anchor").select("key", "first", "alone", "bytes").mapInArrow(freeing(_each_window(length)), "key string, lo long, alone boolean, w binary")
     each = stage.table("each", each)
     twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     rest = each.where("alone").join(twice, "w").select("key", "lo", (F.col("lo") + length).alias("hi"))
@@ -382,4 +382,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     gone = copies.where("n > 1").select(F.col("key").alias("copy_key"))
     marks = spans.unionByName(gone.select(F.col("copy_key").alias("key"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(1 << 62).cast("long").alias("hi"))).alias("spans")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return text.join(marks, "key", "left").select("doc_id", "text", "spans").mapInArrow(_Keep(length, with_text), schema)
+    return text.join(marks, "key", "left").select("doc_id", "text", "spans").mapInArrow(freeing(_Keep(length, with_text)), schema)

@@ -6,6 +6,8 @@ hashes are computed with numpy over that buffer, never text by text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,31 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+#: Called at the end of each task for what modules keep between batches.
+AT_TASK_END: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Hands memory back that a reused worker would hold on to: kept tables, and what Arrow and malloc have free."""
+    for forget in AT_TASK_END:
+        forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(fn: Callable) -> Callable:
+    """A function for ``mapInArrow`` that releases memory at the end of its task."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` whose function gets batches of about ``slice_bytes`` of column ``text``.
 
@@ -50,7 +77,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         if hasattr(fn, "finish"):
             yield from fn.finish()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freeing(run), schema)
 
 
 def layout(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +97,13 @@ def layout(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _forget() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+AT_TASK_END.append(_forget)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.textbytes import freeing
+
 #: Vectors in a candidate group and in a query group.
 CANDIDATES, QUERIES = 16_384, 1_024
 _SCALE = 64
@@ -96,7 +98,7 @@ def _pack(df: DataFrame, group: str, name: str) -> DataFrame:
             flat = sizes.flatten().to_numpy(zero_copy_only=False).astype("<f8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sizes], pa.int32()), pa.array([flat[o : o + len(x)].tobytes() for x, o in zip(sizes, _starts(sizes))], pa.binary())], ["g", "id", "d", "v"])
 
-    one = df.select(F.col(group).alias("g"), F.col("id"), F.col("v")).mapInArrow(run, "g long, id long, d int, v binary")
+    one = df.select(F.col(group).alias("g"), F.col("id"), F.col("v")).mapInArrow(freeing(run), "g long, id long, d int, v binary")
     return one.groupBy("g").agg(F.collect_list(F.struct("id", "d", "v")).alias(name))
 
 
@@ -151,6 +153,6 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     qs = q.select(F.col("g").cast("long").alias("qg"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cg"), "qs")
     qs = qs.repartition(max(1, min(n_c * n_q, 20_000)), "qg", "cg")
     units = qs.join(cs, (qs["qg"] == cs["qg"]) & (qs["cg"] == cs["cg"])).select("qs", "cs")
-    found = units.mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
+    found = units.mapInArrow(freeing(_pairs(k)), "query_id long, vec_id long, score long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,6 +12,8 @@ from graphloom.llm.textbytes import map_texts
 from graphloom.llm.wordpieces import Encoder
 from graphloom.storage import Stage
 
+#: Bytes of text that are encoded at once.
+SLICE = 8 << 20
 SCHEMA = "part int, queue string, before long, doc_id long, n int, ids binary"
 
 
@@ -67,4 +69,4 @@ def token_table(docs: DataFrame, stage: Stage, tokenizer_path: str, end_id: int,
     cols.append((F.col(queue).cast("string") if queue else F.lit(None).cast("string")).alias("queue"))
     ranged = docs.select(*cols).withColumn("_h", F.xxhash64("text"))
     ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text", "queue")
-    return stage.table("tokens", map_texts(ranged.select("doc_id", "text", "queue"), _Tokenise(tokenizer_path, end_id), SCHEMA, 16 << 20))
+    return stage.table("tokens", map_texts(ranged.select("doc_id", "text", "queue"), _Tokenise(tokenizer_path, end_id), SCHEMA, SLICE))

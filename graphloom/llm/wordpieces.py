@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from graphloom.llm.textbytes import expand
+from graphloom.llm.textbytes import AT_TASK_END, expand
 
-#: Words whose ids a worker keeps, about 200 bytes each; beyond it the store starts anew.
-KEPT = 700_000
+#: Words whose ids a task keeps, about 200 bytes each; beyond it the store starts anew, as it does with each task.
+KEPT = 500_000
 _PLAIN = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\\[-`{-~]*)")
 
 
@@ -105,6 +105,14 @@ class Encoder:
         return out, ends[at[1:]] - ends[at[:-1]]
 
 
+def _forget() -> None:
+    for e in Encoder._made.values():
+        e.kept = {}
+
+
+AT_TASK_END.append(_forget)
+
+
 def _byte_letters() -> dict[int, str]:
     """The visible letter that byte-level tokenizers write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
