@@ -16,39 +16,43 @@ from graphloom.llm.queries import read, word_tokenizer
 from graphloom.llm.textbytes import map_texts
 from graphloom.storage import Stage
 
-#: Probability under which a text's language counts as unknown.
-LEAST_LANGUAGE = 0.3
+#: A text's language counts as unknown if its probability is under this multiple of an even guess.
+LEAST_LANGUAGE = 1.2
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a lasting row number, kept as a table."""
-    return Stage(docs.sparkSession, name).table("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a lasting row number, kept as a table, and the number's column, which no column of ``docs`` is named like."""
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    return Stage(docs.sparkSession, name).table("rows", docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of no language (no letter, or no class probable enough) go."""
     known = F.coalesce(language_id.fold(F.col("doc_id"), 4) != 2, F.lit(False))
-    return map_texts(docs, language_id.Accept(language_id.train(docs, known), LEAST_LANGUAGE), docs.schema)
+    model = language_id.train(docs, known)
+    return map_texts(docs, language_id.Accept(model, min(1.0, LEAST_LANGUAGE / max(1, len(model[0])))), docs.schema)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays, the one of least row number; rows without words stay."""
-    rows = _numbered(docs, "dedup-rows")
-    groups = near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows, row = _numbered(docs, "dedup-rows")
+    groups = near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a test item, whole or edited, go."""
-    rows = _numbered(docs, "leak-rows")
-    found = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    rows, row = _numbered(docs, "leak-rows")
+    found = decontaminate.contaminated(rows.select(F.col(row).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are overwritten; every row stays."""
-    model = secret_scan.train(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    model = secret_scan.train(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     return map_texts(docs, secret_scan.Redact(model), docs.schema)
 
 
