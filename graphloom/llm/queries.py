@@ -28,7 +28,9 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+    """The digests of each document, then what is left of its text; a character that a cut parts is replaced there."""
+    found = suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"), with_text=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
