@@ -1,15 +1,18 @@
 """License notices: base phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line; a line of over BLOCK words gives overlapping blocks of BLOCK
-words, STEP apart. Words are ordered by their count over all documents, rarest
-first. A template of n distinct words is met by a block that holds at least
-``ceil(threshold * n)`` of them. Such a block shares a word with the template's
-prefix, its ``n - need + 1`` rarest words; a shared word at place i of the
-template leaves ``n - i`` words to share and at place j of the block ``m - j``,
-which must suffice (positional filter), as must the block's m distinct words
-(length filter). What passes is counted exactly. All of it is exact: no block
-that meets the threshold is missed. Of templates that one block meets, one whose
-words all stand in another (CC BY in CC BY-NC) gives no label.
+A template's blocks are all runs of as many words as it has, and a quarter more
+(two at least), that stand anywhere in a text, across its lines. Words are
+ordered by their count over all documents, rarest first. A template of n
+distinct words is met by a block that holds at least ``need = ceil(threshold * n)``
+of them. Such a block holds one of the template's prefix, its ``n - need + 1``
+rarest words; so only the stretch of blocks around a prefix word is looked at.
+The word at place i of the prefix counts as the block's first in that order, so
+the stretch must hold ``need`` of the template's n - i words from there on
+(positional filter) or an earlier prefix word proposes it; a stretch of under
+``need`` words is passed over (length filter). What passes is counted block by
+block. All of it is exact: no block that meets the threshold is missed. Of
+overlapping blocks of templates, one whose words all stand in the other's (CC BY in
+CC BY-NC) does not count.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import WORD, Words, layout, lowered, map_texts
+from graphloom.llm.textbytes import WORD, Hasher, Words, layout, lowered, map_texts
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notice templates by label. Letters are lower case.
@@ -40,70 +43,93 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "all-rights-reserved": ["copyright all rights reserved"],
 }
-THRESHOLD, BLOCK, STEP = 0.95, 64, 32
+THRESHOLD = 0.95
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _SEP = 0xFF  # never in UTF-8
 
 
-def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(w.encode() for w in text.split())) for label, texts in sorted(templates.items()) for text in texts]
+def template_words(templates: dict[str, list[str]]) -> list[tuple[str, tuple[bytes, ...]]]:
+    """(label, words in their order) of each template that has any."""
+    return [(label, tuple(w.encode() for w in text.split())) for label, texts in sorted(templates.items()) for text in texts if text.split()]
 
 
 class Index:
-    """Templates in global frequency order, their prefixes inverted."""
-
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], threshold: float):
-        self.key = lambda w: (counts.get(w, 0), w)
-        self.templates = [(label, sorted(words, key=self.key), words) for label, words in templates if words]
-        self.need = [max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words, _ in self.templates]
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words[: len(words) - self.need[t] + 1]):
+    """Templates in global frequency order, their prefixes inverted; words are numbered by ``vocabulary``."""
+
+    def __init__(self, templates: list[tuple[str, tuple[bytes, ...]]], counts: dict[bytes, int], threshold: float):
+        self.vocabulary = sorted({w for _, words in templates for w in words})
+        number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.labels = [label for label, _ in templates]
+        self.words = [sorted({number[w] for w in words}, key=lambda i: (counts.get(self.vocabulary[i], 0), i)) for _, words in templates]
+        self.sets = [frozenset(w) for w in self.words]
+        self.need = [max(1, math.ceil(threshold * len(w) - 1e-9)) for w in self.words]
+        self.length = [len(words) + max(2, len(words) // 4) for _, words in templates]
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for t, own in enumerate(self.words):
+            for i, w in enumerate(own[: len(own) - self.need[t] + 1]):
                 self.prefix.setdefault(w, []).append((t, i))
-        self.all_words = frozenset(w for _, words, _ in self.templates for w in words)
-
-    def match(self, block: list[bytes]) -> dict[str, float]:
-        """Label and containment of every template that the block meets."""
-        words = set(block)
-        hit: dict[int, None] = {}
-        m = len(words)
-        order = None
-        for w in words & self.prefix.keys():
-            for t, i in self.prefix[w]:
-                if t in hit or m < self.need[t]:
+
+    def blocks(self, t: int, place: np.ndarray, lo: int, hi: int, last: int) -> list[tuple[int, int]]:
+        """(start, distinct words of template t) of each block that starts at ``lo`` up to ``hi`` and holds enough; blocks end with the text at ``last``."""
+        own, size, held, out = self.sets[t], self.length[t], {}, []
+        end = lo
+        for start in range(lo, hi):
+            while end < min(start + size, last):
+                w = int(place[end])
+                if w in own:
+                    held[w] = held.get(w, 0) + 1
+                end += 1
+            if len(held) >= self.need[t]:
+                out.append((start, len(held)))
+            w = int(place[start])
+            if w in held:
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+        return out
+
+    def met(self, place: np.ndarray, first: int, last: int) -> dict[int, float]:
+        """Containment of each template that has a block among words ``first`` to ``last`` of one text, but of those within another."""
+        reach: dict[int, list[list[int]]] = {}  # for each template the stretches of starts
+        for at in (np.flatnonzero(np.isin(place[first:last], list(self.prefix))) + first).tolist():
+            for t, i in self.prefix[int(place[at])]:
+                lo, hi = max(first, at - self.length[t] + 1), min(last, at + self.length[t])
+                if hi - lo < self.need[t]:
                     continue
-                if order is None:
-                    order = {w: j for j, w in enumerate(sorted(words, key=self.key))}
-                # were w the first shared word, no more than these could follow; else an earlier one proposes t
-                if min(len(self.templates[t][1]) - i, m - order[w]) >= self.need[t]:
-                    hit[t] = None
-        met = [t for t in hit if len(self.templates[t][2] & words) >= self.need[t]]
-        found: dict[str, float] = {}
-        for t in met:
-            label, _, template = self.templates[t]
-            if not any(template < self.templates[u][2] for u in met):
-                found[label] = max(found.get(label, 0.0), len(template & words) / len(template))
-        return found
-
-
-def blocks(count: int) -> list[tuple[int, int]]:
-    if count <= BLOCK:
-        return [(0, count)]
-    return [(a, min(a + BLOCK, count)) for a in range(0, count - BLOCK + STEP, STEP)]
+                near = set(place[lo:hi].tolist())
+                if sum(w in near for w in self.words[t][i:]) >= self.need[t] or any(w in near for w in self.words[t][:i]):
+                    own = reach.setdefault(t, [])
+                    if own and lo <= own[-1][1]:
+                        own[-1][1] = at + 1
+                    else:
+                        own.append([lo, at + 1])
+        found = {t: [x for lo, hi in own for x in self.blocks(t, place, lo, hi, last)] for t, own in reach.items()}
+        starts = {t: np.array([s for s, _ in x]) for t, x in found.items() if x}
+        out = {}
+        for t, s in starts.items():
+            free = np.ones(len(s), bool)
+            for u, v in starts.items():
+                if self.sets[t] < self.sets[u]:
+                    # the u-block that starts next before the end of a t-block is the one to overlap it
+                    k = np.searchsorted(v, s + self.length[t])
+                    free &= (k == 0) | (v[np.maximum(k, 1) - 1] + self.length[u] <= s)
+            if free.any():
+                out[t] = max(n for (_, n), ok in zip(found[t], free.tolist()) if ok) / len(self.words[t])
+        return out
 
 
 class _Count:
     """Occurrences of the templates' words over all texts."""
 
-    def __init__(self, vocabulary: frozenset[bytes]):
+    def __init__(self, vocabulary: list[bytes]):
         self.words, self.total = vocabulary, Counter()
 
     def __call__(self, batch):
         data, offsets = layout(batch.column("text"))
         data = lowered(data)
         words = Words(data, offsets)
-        index, _ = _lookup(data, words, sorted(self.words))
-        for w, n in zip(sorted(self.words), np.bincount(index[index >= 0], minlength=len(self.words)).tolist()):
+        index = _lookup(data, words, self.words)
+        for w, n in zip(self.words, np.bincount(index[index >= 0], minlength=len(self.words)).tolist()):
             self.total[w] += n
         return iter(())
 
@@ -112,31 +138,33 @@ class _Count:
         yield pa.RecordBatch.from_arrays([pa.array([r[0].decode() for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
 
-def _lookup(data: np.ndarray, words: Words, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each word in the vocabulary, or -1; and the words' lengths.
-
-    Words of up to 8 bytes are compared as integers, longer ones by slices whose first 8 bytes and length agree.
-    """
-    size = words.end - words.start
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    head = np.zeros(len(size), np.uint64)
-    for k in range(8):
-        at = size > k
-        head[at] |= padded[words.start[at] + k].astype(np.uint64) << np.uint64(8 * (7 - k))
-    key = head ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    vkey = np.array([int.from_bytes(w[:8].ljust(8, b"\0"), "big") ^ (len(w) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for w in vocabulary], np.uint64)
-    out = np.full(len(size), -1, np.int64)
-    order = np.argsort(vkey, kind="stable")
-    left = np.searchsorted(vkey[order], key)
-    maybe = np.flatnonzero(vkey[order][np.minimum(left, len(vkey) - 1)] == key) if len(vkey) else []
-    for i in maybe:
-        j, w = left[i], data[words.start[i] : words.end[i]].tobytes()
-        while j < len(order) and vkey[order[j]] == key[i]:
-            if vocabulary[order[j]] == w:
-                out[i] = order[j]
-                break
-            j += 1
-    return out, size
+def _lookup(data: np.ndarray, words: Words, vocabulary: list[bytes]) -> np.ndarray:
+    """Place of each word in the vocabulary, or -1: found by hash, then compared byte by byte."""
+    out = np.full(len(words.start), -1, np.int64)
+    if not vocabulary or not len(out):
+        return out
+    ends = np.cumsum([len(w) for w in vocabulary])
+    key = Hasher(np.frombuffer(b"".join(vocabulary), np.uint8)).slices(ends - [len(w) for w in vocabulary], ends)
+    order = np.argsort(key)
+    key = key[order]
+    if (key[1:] == key[:-1]).any():
+        raise ValueError("two words of the templates have one hash")
+    h = words.hashes(data)
+    at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+    maybe = np.flatnonzero(key[at] == h)
+    which = order[at[maybe]]
+    size = words.end[maybe] - words.start[maybe]
+    good = size == np.array([len(w) for w in vocabulary])[which]
+    maybe, which, size = maybe[good], which[good], size[good]
+    table = np.zeros((len(vocabulary), max(map(len, vocabulary))), np.uint8)
+    for i, w in enumerate(vocabulary):
+        table[i, : len(w)] = np.frombuffer(w, np.uint8)
+    same = np.ones(len(maybe), bool)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        same[has] &= data[words.start[maybe[has]] + k] == table[which[has], k]
+    out[maybe[same]] = which[same]
+    return out
 
 
 class _Scan:
@@ -168,7 +196,7 @@ class _Scan:
                 first[doc] = w if first[doc] < 0 else min(first[doc], w)
                 last[doc] = max(last[doc], w)
                 base[doc].add(label)
-        labels, score = self.similar(data, offsets, words, n)
+        labels, score = self.similar(data, words, n)
         for d in range(n):
             if base[d]:
                 score[d] = 1.0
@@ -189,48 +217,26 @@ class _Scan:
             ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
         )
 
-    def similar(self, data, offsets, words, n):
+    def similar(self, data, words, n):
         labels, score = [set() for _ in range(n)], np.zeros(n)
-        prefix = sorted(self.index.prefix)
-        place, _ = _lookup(data, words, prefix)
-        hits = np.flatnonzero(place >= 0)
-        if not len(hits):
-            return labels, score
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, words.start)  # a line break anywhere before parts lines; texts part them too
-        seen: set = set()
-        for h in hits.tolist():
-            doc = int(words.text[h])
-            lo = max(int(words.first[doc]), int(np.searchsorted(line, line[h], "left")))
-            hi = min(int(words.first[doc + 1]), int(np.searchsorted(line, line[h], "right")))
-            for a, z in blocks(hi - lo) if hi - lo <= BLOCK else self.near(h - lo, hi - lo):
-                key = (lo + a, lo + z)
-                if key in seen:
-                    continue
-                seen.add(key)
-                block = [data[s:e].tobytes() for s, e in zip(words.start[key[0] : key[1]], words.end[key[0] : key[1]])]
-                for label, share in self.index.match(block).items():
-                    labels[doc].add(label)
-                    score[doc] = max(score[doc], share)
+        place = _lookup(data, words, self.index.vocabulary)
+        hits = np.flatnonzero(np.isin(place, list(self.index.prefix)))
+        for doc in np.unique(words.text[hits]).tolist():
+            for t, share in self.index.met(place, int(words.first[doc]), int(words.first[doc + 1])).items():
+                labels[doc].add(self.index.labels[t])
+                score[doc] = max(score[doc], share)
         return labels, score
 
-    @staticmethod
-    def near(at: int, count: int) -> list[tuple[int, int]]:
-        """The blocks of a long line that hold its word ``at``."""
-        last = -(-(count - BLOCK) // STEP)
-        lo, hi = max(0, -(-(at - BLOCK + 1) // STEP)), min(at // STEP, last)
-        return [(k * STEP, min(k * STEP + BLOCK, count)) for k in range(lo, hi + 1)]
-
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of ``docs(doc_id, text)``.
 
-    Null and empty texts have no words, no labels and score 0. ``score`` is the
-    highest containment among the labels, 1 with a base label. Rows that repeat
-    stay. What reaches the driver is bounded by the templates' words.
+    Null and empty texts have no words, no labels and score 0; very long ones are
+    read whole. ``score`` is the highest containment among the labels, 1 with a
+    base label. Rows that repeat stay, other columns play no part. What reaches the driver is bounded by the templates' words.
     """
-    sets = template_sets(TEMPLATES if templates is None else templates)
-    vocabulary = frozenset(w for _, words in sets for w in words)
+    sets = template_words(TEMPLATES if templates is None else templates)
+    vocabulary = sorted({w for _, words in sets for w in words})
     text = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = map_texts(text.select("text"), _Count(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"].encode(): r["n"] for r in rows}
