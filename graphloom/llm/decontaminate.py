@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from graphloom.llm.textbytes import Words, freeing, gram_hashes, gram_places, layout, lowered, map_texts
 from graphloom.storage import Stage
 
-GRAM, MIN_ITEM, THRESHOLD = 5, 3, 0.5
+GRAM, THRESHOLD = 5, 0.5
 #: Words of test items that one pass over the documents holds.
 ITEM_WORDS = 2_000_000
 
 
 class Items:
-    """Word hashes of the test items and their runs; items under MIN_ITEM words take no part."""
+    """Word hashes of the test items and their runs; items without words take no part."""
 
     def __init__(self, ids: list, texts: list, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -35,7 +35,7 @@ class Items:
         self.ids, self.words = [], []
         for i, item in enumerate(ids):
             own = h[words.first[i] : words.first[i + 1]]
-            if len(own) >= MIN_ITEM:
+            if len(own):
                 self.ids.append(item)
                 self.words.append(own)
         gram, owner, place = [], [], []
@@ -71,10 +71,11 @@ class Items:
 class _Find:
     """Rows (doc_id, item, at, passage): one for each item and stretch of alignments of a document that may reach the threshold."""
 
-    def __init__(self, items: Items):
-        self.items = items
+    def __init__(self, items):
+        self.shared = items
 
     def __call__(self, batch: pa.RecordBatch):
+        self.items = self.shared.value
         data, offsets = layout(batch.column("text"))
         data = lowered(data)
         words = Words(data, offsets)
@@ -140,11 +141,11 @@ def smith_waterman(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
 
 
 class _Align:
-    def __init__(self, items: Items):
-        self.items, self.threshold = items, items.threshold
+    def __init__(self, items):
+        self.shared = items
 
     def __call__(self, batches):
-        it = self.items
+        it = self.shared.value
         for b in batches:
             keep: list[list] = [[] for _ in range(5)]
             doc, item, at = (b.column(i).to_pylist() for i in range(3))
@@ -160,7 +161,7 @@ class _Align:
                 best, end = smith_waterman(x, y)
                 for k, r in enumerate(rows):
                     score = int(best[k]) / int(it.sizes[item[r]])
-                    if score >= self.threshold:
+                    if score >= it.threshold:
                         for col, v in zip(keep, (doc[r], it.ids[item[r]], item[r], at[r] + int(end[k]), score)):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(keep, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "item", "end_word", "score"])
@@ -171,8 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. One row for each
     document id and item with its best alignment (ties: the first); ``end_word`` is
-    the word after which it ends. Items of under MIN_ITEM words and null texts
-    take no part; items of under GRAM words are one run. Null ids pass as they
+    the word after which it ends. Items without words and null texts take no part; an
+    item of under GRAM words is one run, so it must stand whole. Very long texts are read whole. Null ids pass as they
     are, equal items give a row each, rows that repeat give one. Items are held
     ITEM_WORDS words at a time, each share with a pass of its own over the documents.
     """
@@ -192,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def _share(docs: DataFrame, benchmark: DataFrame, threshold: float, stage: Stage) -> DataFrame:
     rows = sorted(benchmark.collect(), key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-    items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold)
+    items = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], threshold))  # ITEM_WORDS words at most
     found = stage.table("passages", map_texts(docs, _Find(items), "doc_id long, item int, at long, passage binary"))
     aligned = found.mapInArrow(freeing(_Align(items)), "doc_id long, item_id long, item int, end_word long, score double")
     return aligned.select("doc_id", "item_id", "end_word", "score")

@@ -69,15 +69,15 @@ QUERIES = {f.__name__: f for f in (op1_huffman_token_files, op2_near_dedup, op3_
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": """
 WITH good AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    SELECT row_number() OVER () AS rw, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d, len(v) AS n FROM good),
+parts AS (SELECT rw, vec_id, unnest(v) AS x, unnest(range(len(v))) AS d, len(v) AS n FROM good),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-    FROM parts q JOIN parts c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id
+    SELECT q.rw, c.rw AS other, min(q.vec_id) AS query_id, min(c.vec_id) AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM parts q JOIN parts c ON q.d = c.d AND q.n = c.n AND q.rw <> c.rw
     WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rw ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 20
 """,
 }

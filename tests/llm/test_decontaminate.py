@@ -88,3 +88,10 @@ def test_edited_and_partial_copies_are_found_however_often_they_stand(spark):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     want = {(d, cuts[d // 100][0]): align(items[cuts[d // 100][0]], t.split()) / sizes[cuts[d // 100][0]] for d, t in docs}
     assert min(want.values()) >= D.THRESHOLD and got == want
+
+
+def test_short_items_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "a quixotic thing"), (2, "nothing here"), (3, "open sesame now"), (4, "open the sesame"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Quixotic"), (2, "open sesame"), (3, "  "), (4, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(docs, items).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0}
