@@ -93,3 +93,42 @@ def test_components(spark, edges, want):
 
     df = spark.createDataFrame(edges, "src long, dst long")
     assert {r["node"]: r["component"] for r in connected_components(df, Stage(spark, "t")).collect()} == want
+
+
+def test_recall_and_precision_on_the_given_texts(spark):
+    """Every pair by the operator's own weights against its classes: at least 0.9 of both."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    texts = t["text"].combine_chunks().fill_null("")
+    data, offsets = N._bytes(pa.RecordBatch.from_arrays([texts], ["text"]))
+    text, gram, count = N.features(data, offsets)
+    df = {}
+    for g in gram.tolist():
+        df[g] = df.get(g, 0) + 1
+    docs = len(texts)
+    top = np.log(docs + 1)
+    idf = np.array([(top - np.log(df[g] + 1)) / top for g in gram.tolist()])
+    w = (1 + np.log(count)) * (1 + N.IDF_SHARE * idf)
+    vec = [dict(zip(gram[text == i].tolist(), w[text == i].tolist())) for i in range(docs)]
+    total = [sum(v.values()) for v in vec]
+
+    def alike(i, j):
+        both = sum(min(x, vec[j][g]) for g, x in vec[i].items() if g in vec[j])
+        return both / (total[i] + total[j] - both) if total[i] and total[j] else 0.0
+
+    ids = t["doc_id"].to_pylist()
+    sure = {(i, j) for i in range(docs) for j in range(i) if alike(i, j) >= N.THRESHOLD}
+    maybe = {(i, j) for i in range(docs) for j in range(i) if alike(i, j) >= N.THRESHOLD - 0.02}
+    class_of = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(t.to_pandas())).collect()}
+    found = {(i, j) for i in range(docs) for j in range(i) if class_of[ids[i]] == class_of[ids[j]]}
+    assert len(sure) >= 10 and len(sure & found) >= 0.9 * len(sure)
+    # what a class joins is linked by a chain of similar pairs
+    link = {i: {i} for i in range(docs)}
+    for i, j in maybe:
+        if link[i] is not link[j]:
+            link[i] |= link[j]
+            for x in link[j]:
+                link[x] = link[i]
+    assert sum(link[i] is link[j] for i, j in found) >= 0.9 * len(found)

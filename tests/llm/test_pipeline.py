@@ -13,7 +13,7 @@ def test_every_stage_decides(spark, tmp_path):
     docs += [(100, copy[1], "en", "s0", 5), (None, copy[1] + " more", "en", None, 5), copy, (102, "12 34 !!", "en", "s0", 5), (103, None, "fr", "s0", None), (104, "", None, "s1", 5)]
     docs += [(105, text(en, 40) + " " + item + " " + text(en, 40), "en", "s0", 5), (106, text(en, 30) + " token = 'abcdefgh12345678' " + text(en, 30), "en", "s0", 5)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(docs, schema).selectExpr("*", "'mine' as _row").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for k, (name, fn) in enumerate(C.STAGES[:-1]):
@@ -22,6 +22,7 @@ def test_every_stage_decides(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         df = spark.read.parquet(f"{tmp_path}/{k}")
         kept.append(df.collect())
+        assert {r["_row"] for r in kept[-1]} == {"mine"}
     ids = [sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows) for rows in kept]
     plain = [(True, i) for i in range(60)]
     assert ids[0] == sorted([*plain, (False, 0), (True, 7), (True, 100), (True, 105), (True, 106)])
