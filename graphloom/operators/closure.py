@@ -33,33 +33,104 @@ def transitive_closure(edges: DataFrame, stage: Stage, name: str = "closure", ma
     raise RuntimeError("closure did not settle")
 
 
+#: Steps that one round of a reach takes before it is written.
+HOPS = 4
+
+
 def reach_from(seeds: DataFrame, edges: DataFrame, stage: Stage, stop: DataFrame | None = None, max_depth: int | None = None, name: str = "reach") -> DataFrame:
     """(root, node, dist): what each ``seeds(root, node)`` reaches, itself at 0.
 
-    Nodes of ``stop(node)`` are reached but not passed, except as seeds. Each
-    round joins only the newest pairs with the edges and drops known pairs.
+    Nodes of ``stop(node)`` are reached but not passed, except as seeds. A round
+    takes the pairs that are farthest HOPS steps on, drops known pairs, and is written.
     """
-    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    e = stage.table(f"{name}-edges", edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if stop is not None:  # edges out of stops are passed only in the first step
+        onward = stage.table(f"{name}-onward", e.join(stop.select(F.col("node").alias("src")).distinct(), "src", "left_anti"))
+    else:
+        onward = e
     seen = stage.table(f"{name}0", seeds.select("root", "node").distinct().withColumn("dist", F.lit(0)))
-    delta, k = seen, 0
-    while max_depth is None or k < max_depth:
+    delta, depth, k = seen, 0, 0
+    while max_depth is None or depth < max_depth:
         k += 1
-        go = delta if stop is None or k == 1 else delta.join(stop.select("node").distinct(), "node", "left_anti")
-        step = go.join(e, go["node"] == e["src"]).select("root", F.col("dst").alias("node")).distinct()
-        delta = stage.table(f"{name}{k}", step.join(seen, ["root", "node"], "left_anti").withColumn("dist", F.lit(k)))
-        if delta.isEmpty():
+        found, go = None, delta.where(F.col("dist") == depth)
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        for h in range(1, hops + 1):
+            by = e if depth + h == 1 else onward
+            go = go.join(by, go["node"] == by["src"]).select("root", F.col("dst").alias("node"), F.lit(depth + h).alias("dist")).distinct()
+            found = go if found is None else found.unionByName(go)
+        best = found.groupBy("root", "node").agg(F.min("dist").alias("dist"))
+        delta = stage.table(f"{name}{k}", best.join(seen, ["root", "node"], "left_anti"))
+        depth += hops
+        seen = seen.unionByName(delta)
+        if delta.where(F.col("dist") == depth).isEmpty():
             break
-        seen = seen.union(delta)
     return seen
 
 
-def strong_components(closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component, size, recursive) from a closure: mutual reach; component is its least node."""
-    back = closure.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = closure.select("src", "dst").join(back, ["src", "dst"])
-    least = mutual.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("size"))
-    out = nodes.select("node").distinct().join(least, F.col("node") == F.col("src"), "left")
-    return out.select("node", F.coalesce("m", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.col("m").isNotNull().alias("recursive"))
+def components_of(edges: DataFrame, stage: Stage, name: str = "scc", max_rounds: int = 200) -> DataFrame:
+    """(node, component, size) of the strong components of two nodes or more, named by their least node.
+
+    Nodes without a way in or out are trimmed off until none is left. Of the rest each takes
+    the least node that reaches it; those that reach their least node back are a component, which
+    leaves the graph. No pair of nodes is made.
+    """
+    cur = stage.table(f"{name}-e", edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    parts = []
+    for k in range(max_rounds):
+        size = -1
+        t = 0
+        while True:
+            now = cur.count()
+            if now == size or now == 0:
+                break
+            size, t = now, t + 1
+            ways_in, ways_out = cur.select(F.col("dst").alias("src")).distinct(), cur.select(F.col("src").alias("dst")).distinct()
+            cur = stage.table(f"{name}-e{k}-{t}", cur.join(ways_in, "src", "left_semi").join(ways_out, "dst", "left_semi").select("src", "dst"))
+        if cur.count() == 0:
+            break
+        nodes = cur.select(F.col("src").alias("node")).union(cur.select(F.col("dst").alias("node"))).distinct()
+        color = stage.table(f"{name}-c{k}", nodes.withColumn("color", F.col("node")))
+        total, r = None, 0
+        while True:
+            r += 1
+            step = color
+            for _ in range(2):
+                sent = step.join(cur, step["node"] == cur["src"]).select(F.col("dst").alias("node"), "color")
+                step = step.unionByName(sent).groupBy("node").agg(F.min("color").alias("color"))
+            new = stage.table(f"{name}-c{k}-{r}", step)
+            mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()
+            stage.drop(f"{name}-c{k}" if r == 1 else f"{name}-c{k}-{r - 1}")
+            color = new
+            if mark == total:
+                break
+            total = mark
+        inside = cur.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").where("a = b")
+        roots = color.where("node = color").select(F.col("color").alias("root"), "node")
+        got = reach_from(roots, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), stage, name=f"{name}-b{k}")
+        found = stage.table(f"{name}-f{k}", got.select("node", F.col("root").alias("component")).distinct())
+        parts.append(found)
+        cur = stage.table(f"{name}-n{k}", cur.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    if not parts:
+        return cur.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).where("false")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return out.join(sizes, "component").select("node", "component", "size")
+
+
+def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dst) between components; a node without one is its own."""
+    a, b = components.select(F.col("node").alias("src"), F.col("component").alias("a")), components.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    j = edges.join(a, "src", "left").join(b, "dst", "left")
+    return j.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct()
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
+    """(node, component, size, recursive) of every node; a node that calls itself is recursive, too."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("own", F.lit(True))
+    found = nodes.select("node").distinct().join(components_of(edges, stage), "node", "left").join(loops, "node", "left")
+    return found.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("size").isNotNull() | F.coalesce("own", F.lit(False))).alias("recursive"))
 
 
 def transaction_spans(commits: DataFrame, calls: DataFrame, stage: Stage, max_depth: int = 50) -> DataFrame:

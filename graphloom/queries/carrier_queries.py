@@ -64,13 +64,13 @@ def closure_min_distance(spark, sf_dir):
 
 @_query(_rec(CALLS, "SELECT o.o_orderkey AS node, coalesce(m.component, o.o_orderkey) AS component, coalesce(m.size, 1) AS size, m.src IS NOT NULL AS recursive FROM orders o LEFT JOIN (SELECT a.src, min(a.dst) AS component, count(*) AS size FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) m ON o.o_orderkey = m.src"))
 def scc_components(spark, sf_dir):
-    return strong_components(_closure(spark, sf_dir), _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("node")))
+    return strong_components(_rel(spark, sf_dir, CALLS, "calls"), _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("node")), Stage(spark, "scc"))
 
 
 @_query(_rec(CALLS, "SELECT component, count(*) AS members FROM (SELECT a.src, min(a.dst) AS component FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) t GROUP BY component"))
 def recursive_event_expansion(spark, sf_dir):
     nodes = _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("node"))
-    return strong_components(_closure(spark, sf_dir), nodes).where("recursive").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return strong_components(_rel(spark, sf_dir, CALLS, "calls"), nodes, Stage(spark, "scc")).where("recursive").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
 _BOTH = "pairs AS (SELECT src, dst, dist FROM closure UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM orders)"

@@ -39,7 +39,7 @@ def test_closure_and_strong_components(spark, graph):
             if a in d:
                 want[(s, b)] = min(want.get((s, b), 99), d[a] + 1)
     assert {(r[0], r[1]): r[2] for r in closure.collect()} == want
-    got = {r["node"]: (r["component"], r["size"], r["recursive"]) for r in strong_components(closure, spark.range(25).withColumnRenamed("id", "node")).collect()}
+    got = {r["node"]: (r["component"], r["size"], r["recursive"]) for r in strong_components(df, spark.range(25).withColumnRenamed("id", "node"), Stage(spark, "t")).collect()}
     for n in range(25):
         own = {m for m in range(25) if (n, m) in want and (m, n) in want}
         assert got[n] == (min(own, default=n), max(1, len(own)), bool(own))
