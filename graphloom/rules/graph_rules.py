@@ -196,7 +196,7 @@ def span_payload(facts: dict, of: DataFrame) -> DataFrame:
 def _managing(facts: dict) -> DataFrame:
     """(routine_id) of routines whose name says that they post, or that write three tables or more."""
     many = _written(facts).groupBy("routine_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("routine_id")
-    return _needs(facts, "routines")[0].where(posting_name(F.col("name"))).select("routine_id").union(many).distinct()
+    return _needs(facts, "routines.name")[0].where(posting_name(F.col("name"))).select("routine_id").union(many).distinct()
 
 
 def _managed(facts: dict, kind: str) -> DataFrame:
@@ -226,7 +226,7 @@ def d50(facts):
 @detector("d14-dead-routine")
 def d14(facts):
     """Local routines with a body (internal ones, too, if no friend may see them) that no root reaches."""
-    _, objects, _ = _needs(facts, "routines", "objects", "combined_edges")
+    _, objects, _ = _needs(facts, "routines.object_id", "objects.subtype", "combined_edges")
     return _found(dead_routines(facts["routines"], objects, _edges(facts), _stage(facts), bool(facts.get("internal_visible", True))), "d14-dead-routine", "info", "possible")
 
 
@@ -236,7 +236,7 @@ def _obsolete(state: str) -> Column:
 
 @detector("d16-obsolete-routine-call")
 def d16(facts):
-    r = _needs(facts, "routines")[0]
+    r = _needs(facts, "routines.obsolete")[0]
     callee = r.where("obsolete in ('pending', 'removed')").select(F.col("routine_id").alias("to"), "obsolete")
     hit = _edges(facts, but=("event-dispatch",)).join(callee, "to").withColumnRenamed("from", "routine_id").join(_primary(facts).select("routine_id"), "routine_id", "left_semi")
     return _found(hit.withColumn("op_id", F.coalesce("operation_id", "callsite_id")), "d16-obsolete-routine-call", _obsolete("obsolete"), "confirmed")
@@ -245,7 +245,7 @@ def d16(facts):
 @detector("d17-min-version-drift")
 def d17(facts):
     """Dependencies that are there in a higher version than the least declared one, and are called."""
-    declared, apps, r = _needs(facts, "declared_dependencies", "apps", "routines")
+    declared, apps, r = _needs(facts, "declared_dependencies", "apps", "routines.app_guid")
     have = apps.select(F.col("app_guid").alias("dep_guid"), F.col("version").alias("resolved"))
     drift = declared.join(have, "dep_guid").where(version_key(F.col("resolved")) > version_key(F.col("min_version")))
     app = r.select("routine_id", "app_guid")
@@ -267,7 +267,7 @@ def d18(facts):
 @detector("d19-unused-parameter")
 def d19(facts):
     """Parameters of procedures that nothing in the body names; triggers and subscribers have no choice."""
-    p, refs, r = _needs(facts, "parameters", "identifier_refs", "routines")
+    p, refs, r = _needs(facts, "parameters", "identifier_refs", "routines.kind")
     whole = r.where("body_available and not coalesce(parse_incomplete, false) and kind = 'procedure'").select("routine_id")
     named = refs.select("routine_id", ascii_lower(F.col("name")).alias("key")).distinct()
     hit = p.where("coalesce(name, '') <> ''").withColumn("key", ascii_lower(F.col("name"))).join(whole, "routine_id", "left_semi").join(named, ["routine_id", "key"], "left_anti")
@@ -298,7 +298,7 @@ def d22(facts):
 @detector("d29-subscriber-modify-on-event-record")
 def d29(facts):
     """A subscriber of a modify or delete event that changes the record it is given, with triggers."""
-    e, r = _needs(facts, "event_edges", "routines")
+    e, r = _needs(facts, "event_edges", "routines.kind")
     named = e.where(F.lower("event_name").rlike("modify|delete")).select(F.col("subscriber_routine_id").alias("routine_id")).distinct()
     ops = operations(facts).where(F.col("op").isin("Modify", "ModifyAll", "Insert", "Delete", "DeleteAll", "Validate") & F.col("is_parameter") & ~F.col("known_temp"))
     if "run_trigger" in ops.columns:
@@ -327,7 +327,7 @@ def d34(facts):
 @detector("d35-commit-in-event-subscriber")
 def d35(facts):
     """Subscribers that commit: likely where they do it themselves, possible through calls."""
-    subs = _needs(facts, "routines")[0].where("kind = 'event-subscriber'").select("routine_id")
+    subs = _needs(facts, "routines.kind")[0].where("kind = 'event-subscriber'").select("routine_id")
     hit = _may_commit(facts, "d35").join(subs, "routine_id", "left_semi")
     one = _found(hit.where("dist = 0"), "d35-commit-in-event-subscriber", "high")
     return one.unionByName(_found(hit.where("dist > 0"), "d35-commit-in-event-subscriber", "high", "possible"))
@@ -335,7 +335,7 @@ def d35(facts):
 
 @detector("d38-subscriber-to-obsolete-event")
 def d38(facts):
-    e, r = _needs(facts, "event_edges", "routines")
+    e, r = _needs(facts, "event_edges", "routines.obsolete")
     gone = r.where("obsolete in ('pending', 'removed')").select(F.col("routine_id").alias("publisher_routine_id"), "obsolete")
     hit = e.join(gone, "publisher_routine_id").select(F.col("subscriber_routine_id").alias("routine_id"), "obsolete", F.col("event_id").alias("op_id"))
     return _found(hit, "d38-subscriber-to-obsolete-event", _obsolete("obsolete"), "confirmed")
@@ -343,7 +343,7 @@ def d38(facts):
 
 def _passed(facts: dict, *columns: str) -> DataFrame:
     """Calls that pass a record by reference, with the callee's roles and the place of the call."""
-    b, roles = _needs(facts, "bindings", "roles")
+    b, roles, *_ = _needs(facts, "bindings", "roles", *(f"roles.{c}" for c in columns))
     r = roles.select(F.col("routine_id").alias("callee"), "position", *columns)
     return b.where("by_ref").join(r, ["callee", "position"]).withColumn("var_key", ascii_lower(F.col("var"))).withColumn("call_at", F.struct("anchor.start_line", "anchor.start_col"))
 
@@ -457,7 +457,7 @@ def d45(facts):
 @detector("d46-commit-in-lifecycle", opt_in=True)
 def d46(facts):
     """Install and upgrade triggers that reach a commit without an event between."""
-    r, o = _needs(facts, "routines", "objects")
+    r, o = _needs(facts, "routines.object_id", "objects.subtype")
     life = o.where("kind = 'Codeunit' and lower(subtype) in ('install', 'upgrade')").select("object_id")
     roots = r.where("kind = 'trigger'").join(life, "object_id", "left_semi").select("routine_id")
     return _found(_may_commit(facts, "d46", ("event-dispatch",)).join(roots, "routine_id", "left_semi"), "d46-commit-in-lifecycle", "high")
@@ -500,7 +500,7 @@ def d51(facts):
     ops = _needs(facts, "ordered_operations")[0]
     io = ops.where(F.col("effect").isin(*EXTERNAL)).where(io_direction(F.col("effect"), F.col("method"), F.col("method")) != "read")
     err = ops.where("effect = 'ERROR_THROW'").select("routine_id", F.struct("op_id", "order_id", "frames").alias("e"))
-    trying = _needs(facts, "routines")[0].where("coalesce(is_try, false)").select("routine_id")
+    trying = _needs(facts, "routines.is_try")[0].where("coalesce(is_try, false)").select("routine_id")
     pairs = io.join(err, "routine_id").where(F.col("order_id") < F.col("e.order_id")).where(may_co_execute(F.col("op_id"), F.col("frames"), F.col("e.op_id"), F.col("e.frames"))).join(trying, "routine_id", "left_anti")
     commit = ops.where("effect = 'COMMIT'").select("routine_id", F.col("order_id").alias("c"))
     sure = pairs.join(commit, "routine_id", "left").groupBy("routine_id", "op_id").agg(F.coalesce(F.bool_or((F.col("c") > F.col("order_id")) & (F.col("c") < F.col("e.order_id"))), F.lit(False)).alias("kept"))
@@ -510,7 +510,7 @@ def d51(facts):
 @detector("d53-ignored-tryfunction-result")
 def d53(facts):
     """A TryFunction called as a statement, its result used nowhere and not under asserterror: errors vanish."""
-    calls, r = _needs(facts, "call_sites", "routines")
+    calls, r = _needs(facts, "call_sites", "routines.is_try")
     tries = r.where("coalesce(is_try, false)").select(F.col("routine_id").alias("to"))
     bare = calls.where("in_statement and not coalesce(under_asserterror, false) and not coalesce(result_used, false)").select("callsite_id")
     hit = _edges(facts).join(tries, "to", "left_semi").join(bare, "callsite_id", "left_semi")
@@ -520,7 +520,7 @@ def d53(facts):
 @detector("d54-publish-in-tryfunction-cone")
 def d54(facts):
     """Publishers that a TryFunction reaches without events or dynamic calls between."""
-    tries = _needs(facts, "routines")[0].where("coalesce(is_try, false)").select("routine_id")
+    tries = _needs(facts, "routines.is_try")[0].where("coalesce(is_try, false)").select("routine_id")
     pubs = _needs(facts, "events")[0].select(F.col("publisher_routine_id").alias("node"), "event_id")
     got = _reach(facts, tries, _edges(facts, but=("event-dispatch", "dynamic")), "d54").join(pubs, "node")
     one = got.groupBy(F.col("root").alias("routine_id"), F.col("event_id").alias("op_id")).agg(F.min("dist").alias("dist"))
@@ -551,7 +551,7 @@ def d56(facts):
 @detector("d57-singleinstance-growing-state")
 def d57(facts):
     """A subscriber in a single-instance object that grows a global collection which nothing in the object clears."""
-    r, o, g = _needs(facts, "routines", "objects", "global_mutations")
+    r, o, g = _needs(facts, "routines.object_id", "objects.single_instance", "global_mutations")
     single = o.where("coalesce(single_instance, false)").select("object_id")
     m = g.withColumn("key", ascii_lower(F.col("variable")))
     grows = m.where("kind = 'grow'").join(r.where("kind = 'event-subscriber'").select("routine_id", "object_id"), "routine_id").join(single, "object_id", "left_semi")
@@ -572,7 +572,7 @@ def d58(facts):
 @detector("d60-upgrade-loop-should-be-datatransfer")
 def d60(facts):
     """An install or upgrade loop that does nothing but modify row by row."""
-    r, o, calls = _needs(facts, "routines", "objects", "call_sites")
+    r, o, calls = _needs(facts, "routines.object_id", "objects.subtype", "call_sites")
     life = r.join(o.where("kind = 'Codeunit' and lower(subtype) in ('install', 'upgrade')").select("object_id"), "object_id", "left_semi").select("routine_id")
     ops = operations(facts).where("not op like '@%'").join(life, "routine_id", "left_semi").select("routine_id", F.explode("loop_stack").alias("loop"), "op", "op_id", "table_id", "known_temp")
     g = ops.groupBy("routine_id", "loop").agg(F.count_if(F.col("op") == "Modify").alias("n"), F.bool_and(F.col("op").isin("Modify", "Next")).alias("pure"), F.min(F.when(F.col("op") == "Modify", F.struct("op_id", "table_id", "known_temp"))).alias("m"))
@@ -605,7 +605,7 @@ def d63(facts):
 @detector("d64-api-page-write-surface", opt_in=True)
 def d64(facts):
     """An API page that is not editable but lets rows be inserted, changed or deleted; or that says nothing of it."""
-    o = _needs(facts, "objects")[0].where("kind = 'Page' and lower(page_type) = 'api'")
+    o = _needs(facts, "objects.page_type")[0].where("kind = 'Page' and lower(page_type) = 'api'")
     writes = [F.col(c) for c in ("insert_allowed", "modify_allowed", "delete_allowed")]
     silent = writes[0].isNull() & writes[1].isNull() & writes[2].isNull()
     open_ = (F.col("editable") == F.lit(False)) & (F.coalesce(writes[0], F.lit(True)) | F.coalesce(writes[1], F.lit(True)) | F.coalesce(writes[2], F.lit(True)))

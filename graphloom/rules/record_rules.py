@@ -60,11 +60,15 @@ def _found(df: DataFrame, name: str, severity: Column | str, confidence: str = "
 
 
 def _needs(facts: dict[str, DataFrame], *names: str) -> list[DataFrame]:
-    """Fact tables by name; MissingFacts if one is absent."""
-    lost = [n for n in names if n not in facts]
+    """Fact tables by name, or by ``table.column`` where a column is asked for; MissingFacts if one is absent."""
+    lost = []
+    for n in names:
+        table, _, column = n.partition(".")
+        if table not in facts or (column and column not in facts[table].columns):
+            lost.append(n)
     if lost:
         raise MissingFacts(lost)
-    return [facts[n] for n in names]
+    return [facts[n.partition(".")[0]] for n in names]
 
 
 class MissingFacts(LookupError):
