@@ -67,12 +67,6 @@ def scc_components(spark, sf_dir):
     return strong_components(_rel(spark, sf_dir, CALLS, "calls"), _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("node")), Stage(spark, "scc"))
 
 
-@_query(_rec(CALLS, "SELECT component, count(*) AS members FROM (SELECT a.src, min(a.dst) AS component FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) t GROUP BY component"))
-def recursive_event_expansion(spark, sf_dir):
-    nodes = _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("node"))
-    return strong_components(_rel(spark, sf_dir, CALLS, "calls"), nodes, Stage(spark, "scc")).where("recursive").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-
-
 _BOTH = "pairs AS (SELECT src, dst, dist FROM closure UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM orders)"
 
 
@@ -124,15 +118,6 @@ def dead_routines(spark, sf_dir):
     return r.join(_live(spark, sf_dir), F.col("id") == F.col("node"), "left_anti").select("id", "kind", "access")
 
 
-@_query(_rec(ACYCLIC, "").rstrip() + f", {OPS}, looped AS (SELECT DISTINCT routine FROM ops WHERE in_loop) SELECT l.routine, o.op, count(*) AS places, min(c.dist) AS nearest FROM looped l JOIN closure c ON l.routine = c.src JOIN ops o ON c.dst = o.routine WHERE o.op IN ('read', 'insert', 'modify') GROUP BY l.routine, o.op")
-def db_op_in_loop_transitive(spark, sf_dir):
-    """Operations that a routine with a loop reaches through calls."""
-    ops = _rel(spark, sf_dir, OPS, "ops")
-    loops = ops.where("in_loop").select(F.col("routine").alias("src")).distinct()
-    j = _closure(spark, sf_dir, ACYCLIC).join(loops, "src").join(ops.where("op in ('read', 'insert', 'modify')"), F.col("dst") == F.col("routine"))
-    return j.groupBy("src", "op").agg(F.count(F.lit(1)).alias("places"), F.min("dist").alias("nearest")).withColumnRenamed("src", "routine")
-
-
 _SPAN = f"{OPS}, commits AS (SELECT DISTINCT routine AS id FROM ops WHERE op = 'commit'), span(seed, member, d) AS (SELECT id, id, 0 FROM commits UNION SELECT s.seed, c.src, s.d + 1 FROM span s JOIN calls c ON c.dst = s.member WHERE s.d < 50 AND (s.d = 0 OR s.member NOT IN (SELECT id FROM commits)))"
 
 
@@ -200,18 +185,9 @@ _plan("bulk_write_unfiltered", OPS, "SELECT routine, tab, count(*) AS writes FRO
 _plan("validate_without_persist", OPS, "SELECT routine, count(*) AS locks FROM ops WHERE op = 'lock' GROUP BY routine HAVING routine NOT IN (SELECT routine FROM ops WHERE op IN ('insert', 'modify'))",
       "SELECT routine, count_if(op = 'lock') AS locks FROM ops GROUP BY routine HAVING count_if(op = 'lock') > 0 AND count_if(op IN ('insert', 'modify')) = 0")
 _plan("repeated_lookup", OPS, "SELECT routine, op, count(*) AS n, count(DISTINCT tab) AS tabs FROM ops WHERE op = 'read' GROUP BY routine, op HAVING count(*) > 1")
-_plan("constant_parameter", OPS, "SELECT routine, min(op) AS only_value, count(*) AS calls FROM ops GROUP BY routine HAVING count(DISTINCT op) = 1 AND count(*) > 1")
-_plan("clone_before_write", OPS, ", s AS (SELECT *, lead(op) OVER (PARTITION BY routine ORDER BY ord) AS nxt FROM ops) SELECT routine, ord, tab FROM s WHERE op = 'read' AND nxt IN ('insert', 'modify')")
 _plan("cross_app_edges", CALLS, ", apps AS (SELECT o.o_orderkey AS id, c.c_nationkey AS app, o.o_orderpriority AS pr FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) SELECT a.app, b.pr AS callee_priority, count(*) AS edges FROM calls e JOIN apps a ON e.src = a.id JOIN apps b ON e.dst = b.id GROUP BY a.app, b.pr")
-_plan("obsolete_calls", CALLS, f", {ROUTINES} SELECT e.src, e.dst, r.access FROM calls e JOIN routines r ON e.dst = r.id WHERE r.access = 'local' AND r.kind = 'trigger'")
 _plan("event_fanout", "", "SELECT event_type, user_id % 10 AS slot, count(DISTINCT user_id) AS subscribers, count(*) AS deliveries, count(DISTINCT user_id) > 5 AS hot FROM events GROUP BY event_type, user_id % 10")
 _plan("event_fanout_totals", "", "SELECT count(*) AS events, count(*) FILTER (WHERE subs > 5) AS hot, CAST(sum(subs) AS BIGINT) AS subscriptions FROM (SELECT event_type, user_id % 10 AS slot, count(DISTINCT user_id) AS subs FROM events GROUP BY event_type, user_id % 10) t")
-_plan("event_overlap", "s AS (SELECT DISTINCT event_type, user_id FROM events)", "SELECT a.event_type AS one, b.event_type AS two, count(*) AS shared FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY a.event_type, b.event_type")
-_plan("witness_top3", OPS, ", s AS (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY ord, routine, part) AS rn FROM ops WHERE op = 'modify') SELECT tab, routine, part, rn FROM s WHERE rn <= 3")
-_plan("resolve_unique_or_decline", "", "SELECT c.c_nationkey, c.c_mktsegment, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(c.c_custkey) END AS target, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome FROM customer c GROUP BY c.c_nationkey, c.c_mktsegment")
-_plan("overload_pick", "", "SELECT p.p_brand, p.p_size, count(*) AS candidates, count(*) FILTER (WHERE p.p_type LIKE '%STEEL%') AS exact, CASE WHEN count(*) FILTER (WHERE p.p_type LIKE '%STEEL%') = 1 AND count(*) FILTER (WHERE p.p_retailprice < 1000) = 0 THEN min(CASE WHEN p.p_type LIKE '%STEEL%' THEN p.p_partkey END) END AS pick FROM part p GROUP BY p.p_brand, p.p_size")
-_plan("resolution_histogram", OPS, "SELECT op, in_loop, count(*) AS n, count(DISTINCT routine) AS routines FROM ops GROUP BY op, in_loop")
-_plan("unknown_breakdown", "", "SELECT d.lang, count(*) AS docs, count(*) FILTER (WHERE l.quality IS NULL) AS unknown, count(*) FILTER (WHERE l.quality = 0) AS bad FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
 _plan("findings_rollup", FINDINGS, "SELECT detector, severity, count(*) AS n, count(DISTINCT routine) AS routines, count(DISTINCT tab) AS tables_hit FROM findings GROUP BY detector, severity")
 _plan("findings_by_group", FINDINGS, "SELECT tab, max(sev_rank) AS worst, count(*) AS n FROM findings GROUP BY tab")
 _plan("merge_by_terminal", FINDINGS, "SELECT detector, tab, count(DISTINCT routine) AS paths, min(routine) AS witness, max(sev_rank) AS sev FROM findings GROUP BY detector, tab")
@@ -220,13 +196,9 @@ _plan("limit_natural_sort", FINDINGS, ", s AS (SELECT detector, routine, line, p
 _plan("baseline_anti", FINDINGS, "SELECT f.detector, f.routine, f.tab, f.severity FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings b WHERE b.part % 3 = 0 AND b.detector = f.detector AND b.routine = f.routine)")
 _plan("suppression_window", OPS, "SELECT f.routine, f.ord, count(*) AS directives FROM ops f JOIN ops s ON f.routine = s.routine AND s.op = 'lock' AND f.ord - s.ord BETWEEN 0 AND 1 WHERE f.op <> 'lock' GROUP BY f.routine, f.ord")
 _plan("diff_hunk_lines", OPS, ", hunks AS (SELECT o_orderkey AS routine, 2 AS lo, 4 AS hi FROM orders WHERE o_orderstatus = 'O') SELECT f.routine, f.ord, f.op FROM ops f JOIN hunks h ON f.routine = h.routine AND f.ord BETWEEN h.lo AND h.hi")
-_plan("diff_permissions", FACTS, "SELECT a.id, CASE WHEN b.rank > a.rank THEN 'expanded' ELSE 'contracted' END AS rights, b.rank - a.rank AS step FROM old_facts a JOIN new_facts b ON a.id = b.id WHERE a.rank <> b.rank")
 _plan("diff_capabilities", FACTS, ", lost AS (SELECT owner, kind, rank FROM old_facts EXCEPT SELECT owner, kind, rank FROM new_facts), gained AS (SELECT owner, kind, rank FROM new_facts EXCEPT SELECT owner, kind, rank FROM old_facts) SELECT owner, kind, rank, 'lost' AS what FROM lost UNION ALL SELECT owner, kind, rank, 'gained' FROM gained")
-_plan("version_drift", FACTS, "SELECT a.owner, count(*) AS pairs, count(*) FILTER (WHERE b.kind <> a.kind) AS drifted FROM old_facts a JOIN new_facts b ON a.id = b.id GROUP BY a.owner")
 _plan("presence_lattice", OPS, "SELECT routine, max(CASE op WHEN 'modify' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END) AS modifies, max(CASE op WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END) AS loads FROM ops GROUP BY routine")
 _plan("via_precedence", OPS, ", s AS (SELECT *, CASE op WHEN 'modify' THEN 4 WHEN 'insert' THEN 3 WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END AS via, row_number() OVER (PARTITION BY routine, tab ORDER BY CASE op WHEN 'modify' THEN 4 WHEN 'insert' THEN 3 WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END DESC, ord) AS rn FROM ops) SELECT routine, tab, via, ord FROM s WHERE rn = 1")
-_plan("conditionality", OPS, ", per_path AS (SELECT tab, routine, max(CASE WHEN in_loop THEN 1 ELSE 0 END) AS c FROM ops GROUP BY tab, routine) SELECT tab, min(c) AS least_restrictive, max(c) AS most_restrictive, count(*) AS paths FROM per_path GROUP BY tab")
-_plan("quality_score", "", "SELECT doc_id, n_chars, greatest(0, 100 - CAST(floor(n_chars / 1000.0) AS INT) * 5) AS score FROM documents")
 _plan("threshold_findings", "", "SELECT doc_id, 'length' AS metric, n_chars AS val, CASE WHEN n_chars >= 5000 THEN 'error' ELSE 'warning' END AS severity FROM documents WHERE n_chars >= 2000")
 _plan("metrics_summary", "", "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest, min(n_chars) AS shortest FROM documents GROUP BY source")
 _plan("fingerprint_sha256", "", "SELECT p_partkey, substr(sha256(concat(p_brand, '|', p_type, '|', CAST(p_size AS STRING))), 1, 16) AS fingerprint FROM part", "SELECT p_partkey, substr(sha2(concat(p_brand, '|', p_type, '|', CAST(p_size AS STRING)), 256), 1, 16) AS fingerprint FROM part")
