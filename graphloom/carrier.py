@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,9 +31,12 @@ FINDINGS = """findings AS (SELECT concat('d', CAST(l_suppkey % 12 AS STRING)) AS
   CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS sev_rank, l_linenumber AS line, l_partkey AS part FROM lineitem)"""
 
 
+_NAMED = re.compile(rf"\b(FROM|JOIN)(\s+)({'|'.join(TABLES)})\b", re.IGNORECASE)
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Runs SQL over the driver tables that it names."""
-    for t in TABLES:
-        if t in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(text)
+    """Runs SQL over the driver tables that it names after FROM or JOIN, under view names of its own."""
+    mark = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    for t in {m[2].lower() for m in _NAMED.findall(text)}:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"graphloom_{mark}_{t}")
+    return spark.sql(_NAMED.sub(lambda m: f"{m[1]}{m[2]}graphloom_{mark}_{m[3].lower()}", text))

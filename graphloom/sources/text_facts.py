@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# fixed value: syntax of a suppression directive
 DIRECTIVE = r"//\s*al-sem-ignore\s+([\w-]+)(?:\s*:\s*(.+))?"
+#: Fingerprints of one baseline document.
+ROWS = 100_000
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -43,11 +46,13 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "fingerprint string")
-    doc = spark.read.schema("schemaVersion string, fingerprints array<string>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    doc = spark.read.schema("schemaVersion string, fingerprints array<string>").option("multiLine", p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(p)).option("mode", "FAILFAST").json(path)
     return doc.select(F.explode("fingerprints").alias("fingerprint")).distinct()
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """The distinct fingerprints of ``findings``, sorted, as one JSON document."""
-    doc = findings.agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
-    doc.select(F.lit("1.0.0").alias("schemaVersion"), "fingerprints").coalesce(1).write.mode("overwrite").json(path)
+    """The distinct fingerprints of ``findings``, sorted, in documents of at most ROWS each, which a reader takes together."""
+    f = findings.select("fingerprint").where("fingerprint is not null").distinct()
+    parts = f.repartitionByRange("fingerprint").sortWithinPartitions("fingerprint").withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    doc = parts.groupBy("_p", F.floor(F.col("_n") / ROWS).alias("_k")).agg(F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
+    doc.orderBy("_p", "_k").select(F.lit("1.0.0").alias("schemaVersion"), "fingerprints").write.mode("overwrite").json(path)
