@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.carrier import ACYCLIC, CALLS, FACTS, FINDINGS, OPS, ROUTINES, STEPS, sql
+from graphloom.carrier import ACYCLIC, CALLS, FACTS, OPS, ROUTINES, STEPS, sql
 from graphloom.operators.closure import reach_from, strong_components, transaction_spans, transitive_closure
 from graphloom.operators.diff import keyed_diff, set_difference
 from graphloom.operators.predicates import compile_predicate, glob
@@ -186,21 +186,10 @@ _plan("validate_without_persist", OPS, "SELECT routine, count(*) AS locks FROM o
       "SELECT routine, count_if(op = 'lock') AS locks FROM ops GROUP BY routine HAVING count_if(op = 'lock') > 0 AND count_if(op IN ('insert', 'modify')) = 0")
 _plan("repeated_lookup", OPS, "SELECT routine, op, count(*) AS n, count(DISTINCT tab) AS tabs FROM ops WHERE op = 'read' GROUP BY routine, op HAVING count(*) > 1")
 _plan("cross_app_edges", CALLS, ", apps AS (SELECT o.o_orderkey AS id, c.c_nationkey AS app, o.o_orderpriority AS pr FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) SELECT a.app, b.pr AS callee_priority, count(*) AS edges FROM calls e JOIN apps a ON e.src = a.id JOIN apps b ON e.dst = b.id GROUP BY a.app, b.pr")
-_plan("event_fanout", "", "SELECT event_type, user_id % 10 AS slot, count(DISTINCT user_id) AS subscribers, count(*) AS deliveries, count(DISTINCT user_id) > 5 AS hot FROM events GROUP BY event_type, user_id % 10")
-_plan("event_fanout_totals", "", "SELECT count(*) AS events, count(*) FILTER (WHERE subs > 5) AS hot, CAST(sum(subs) AS BIGINT) AS subscriptions FROM (SELECT event_type, user_id % 10 AS slot, count(DISTINCT user_id) AS subs FROM events GROUP BY event_type, user_id % 10) t")
-_plan("findings_rollup", FINDINGS, "SELECT detector, severity, count(*) AS n, count(DISTINCT routine) AS routines, count(DISTINCT tab) AS tables_hit FROM findings GROUP BY detector, severity")
-_plan("findings_by_group", FINDINGS, "SELECT tab, max(sev_rank) AS worst, count(*) AS n FROM findings GROUP BY tab")
-_plan("merge_by_terminal", FINDINGS, "SELECT detector, tab, count(DISTINCT routine) AS paths, min(routine) AS witness, max(sev_rank) AS sev FROM findings GROUP BY detector, tab")
-_plan("limit_natural_sort", FINDINGS, ", s AS (SELECT detector, routine, line, part, tab, sev_rank, row_number() OVER (ORDER BY sev_rank DESC, CAST(substr(detector, 2) AS INT), routine, line, part, tab) AS rn FROM findings) SELECT * FROM s WHERE rn <= 100",
-      ", s AS (SELECT detector, routine, line, part, tab, sev_rank FROM findings ORDER BY sev_rank DESC, CAST(substr(detector, 2) AS INT), routine, line, part, tab LIMIT 100) SELECT detector, routine, line, part, tab, sev_rank, row_number() OVER (ORDER BY sev_rank DESC, CAST(substr(detector, 2) AS INT), routine, line, part, tab) AS rn FROM s")
-_plan("baseline_anti", FINDINGS, "SELECT f.detector, f.routine, f.tab, f.severity FROM findings f WHERE NOT EXISTS (SELECT 1 FROM findings b WHERE b.part % 3 = 0 AND b.detector = f.detector AND b.routine = f.routine)")
 _plan("suppression_window", OPS, "SELECT f.routine, f.ord, count(*) AS directives FROM ops f JOIN ops s ON f.routine = s.routine AND s.op = 'lock' AND f.ord - s.ord BETWEEN 0 AND 1 WHERE f.op <> 'lock' GROUP BY f.routine, f.ord")
-_plan("diff_hunk_lines", OPS, ", hunks AS (SELECT o_orderkey AS routine, 2 AS lo, 4 AS hi FROM orders WHERE o_orderstatus = 'O') SELECT f.routine, f.ord, f.op FROM ops f JOIN hunks h ON f.routine = h.routine AND f.ord BETWEEN h.lo AND h.hi")
 _plan("diff_capabilities", FACTS, ", lost AS (SELECT owner, kind, rank FROM old_facts EXCEPT SELECT owner, kind, rank FROM new_facts), gained AS (SELECT owner, kind, rank FROM new_facts EXCEPT SELECT owner, kind, rank FROM old_facts) SELECT owner, kind, rank, 'lost' AS what FROM lost UNION ALL SELECT owner, kind, rank, 'gained' FROM gained")
 _plan("presence_lattice", OPS, "SELECT routine, max(CASE op WHEN 'modify' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END) AS modifies, max(CASE op WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END) AS loads FROM ops GROUP BY routine")
 _plan("via_precedence", OPS, ", s AS (SELECT *, CASE op WHEN 'modify' THEN 4 WHEN 'insert' THEN 3 WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END AS via, row_number() OVER (PARTITION BY routine, tab ORDER BY CASE op WHEN 'modify' THEN 4 WHEN 'insert' THEN 3 WHEN 'read' THEN 2 WHEN 'lock' THEN 1 ELSE 0 END DESC, ord) AS rn FROM ops) SELECT routine, tab, via, ord FROM s WHERE rn = 1")
-_plan("threshold_findings", "", "SELECT doc_id, 'length' AS metric, n_chars AS val, CASE WHEN n_chars >= 5000 THEN 'error' ELSE 'warning' END AS severity FROM documents WHERE n_chars >= 2000")
-_plan("metrics_summary", "", "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest, min(n_chars) AS shortest FROM documents GROUP BY source")
 _plan("fingerprint_sha256", "", "SELECT p_partkey, substr(sha256(concat(p_brand, '|', p_type, '|', CAST(p_size AS STRING))), 1, 16) AS fingerprint FROM part", "SELECT p_partkey, substr(sha2(concat(p_brand, '|', p_type, '|', CAST(p_size AS STRING)), 256), 1, 16) AS fingerprint FROM part")
 _plan("identifier_fold", "", "SELECT lower(p_type) AS folded, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY lower(p_type)")
 _plan("version_compare", "v AS (SELECT p_partkey AS id, p_size AS major, p_partkey % 7 AS minor FROM part)", "SELECT a.id, CASE WHEN a.major > b.major OR (a.major = b.major AND a.minor > b.minor) THEN 'newer' WHEN a.major = b.major AND a.minor = b.minor THEN 'same' ELSE 'older' END AS verdict FROM v a JOIN v b ON a.id + 1 = b.id")

@@ -5,10 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.queries import carrier_queries, engine_queries, operator_queries
+from graphloom.queries import carrier_queries, engine_queries, operator_queries, plan_queries
 
-ALL = {**carrier_queries.QUERIES, **operator_queries.QUERIES, **engine_queries.QUERIES}
-ORACLES = {**carrier_queries.ORACLES, **operator_queries.ORACLES, **engine_queries.ORACLES}
+ALL = {**carrier_queries.QUERIES, **operator_queries.QUERIES, **engine_queries.QUERIES, **plan_queries.QUERIES}
+ORACLES = {**carrier_queries.ORACLES, **operator_queries.ORACLES, **engine_queries.ORACLES, **plan_queries.ORACLES}
 CHEAP = [k for k in ALL if k not in {"transaction_span_payload", "dead_routines", "scc_components", "recursive_event_expansion"}]
 
 
