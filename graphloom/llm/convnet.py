@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 
@@ -19,7 +21,7 @@ class ConvNet:
         self.p["c"] = np.zeros(classes, np.float32)
         self.tables = None
 
-    def _step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def _step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         p, n = self.p, len(x)
         emb, dim = p["E"][x], p["E"].shape[1]
         pooled, at, view = [], [], {}
@@ -39,6 +41,8 @@ class ConvNet:
         loss = float(-np.log(prob[np.arange(n), y] + 1e-9).mean())
         d = prob
         d[np.arange(n), y] -= 1
+        if weight is not None:
+            d *= weight[y, None]
         d /= n
         g = {"V": a.T @ d, "c": d.sum(0), "E": np.zeros_like(p["E"])}
         dh = (d @ p["V"].T) * (h > 0)
@@ -52,25 +56,45 @@ class ConvNet:
                 np.add.at(g["E"], x[np.arange(n)[:, None], at[k] + j], back[:, :, j * dim : (j + 1) * dim])
         return loss, g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 3) -> ConvNet:
-        """Adam; the same rows in the same order give the same model."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x_) for k, x_ in self.p.items()}
-        t = 0
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 3, weight: np.ndarray | None = None, state: dict | None = None) -> ConvNet:
+        """Adam; the same rows in the same order give the same model. ``weight`` is each class's; ``state`` carries a run over several calls."""
+        state = {} if state is None else state
+        if not state:
+            state |= {"rng": np.random.default_rng(seed), "m": {k: np.zeros_like(v) for k, v in self.p.items()}, "v": {k: np.zeros_like(v) for k, v in self.p.items()}, "t": 0}
+        rng, m, v, t = state["rng"], state["m"], state["v"], state["t"]
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 t += 1
                 rows = order[a : a + batch]
-                _, g = self._step(x[rows], y[rows])
+                _, g = self._step(x[rows], y[rows], weight)
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        state["t"] = t
         self.tables = None
         return self
 
+    def flat(self) -> np.ndarray:
+        """All weights in one array."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def like(self, flat: np.ndarray) -> ConvNet:
+        """A network of this shape with these weights."""
+        out = copy.copy(self)
+        ends = np.cumsum([v.size for v in self.p.values()])[:-1]
+        out.p = {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(self.p.items(), np.split(flat, ends))}
+        out.tables = None
+        return out
+
+    def averaged(self, rows: list) -> ConvNet:
+        """The mean of the networks of ``rows(n, flat)``, by the number of examples that each was trained on; this one if there are none."""
+        total = sum(r["n"] for r in rows)
+        if not total:
+            return self
+        return self.like(sum(np.frombuffer(r["flat"], np.float64) * (r["n"] / total) for r in rows))
+
     def _tables(self):
         """What each symbol, or pair of neighbours, adds to the filters of a width."""
         if self.tables is None:

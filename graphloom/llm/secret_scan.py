@@ -8,10 +8,14 @@ characters, one for each VALUE - LEFT characters of the value, so all of it and
 what stands around it; the highest score counts. Outside the value it sees letters and
 digits by class only, so it can't learn the base patterns' key names and judges
 a value by itself and the punctuation around it. Its labelled findings are the
-base patterns' matches (secrets) and the other candidates (not), at most SAMPLE
-distinct windows of each by hash. One in four is kept for calibration: Platt
-scaling, then the highest threshold whose recall of the kept secrets is at least
-RECALL. A candidate at or above it that overlaps no base span is added as kind ``model``.
+base patterns' matches (secrets) and the other candidates (not): every distinct
+window of the corpus, both sorts with the same total weight. They are dealt by
+hash into shards of about SAMPLE windows. The first shard's network is where all
+shards start; they train side by side and are averaged, ROUNDS times. One window
+in four is kept for calibration, all of these by a count for each BIN of their
+scores: Platt scaling, then the highest bin's threshold whose recall of the kept
+secrets is at least RECALL. A candidate at or above it that overlaps no base span
+is added as kind ``model``. Which windows meet does not depend on how the table is split.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.convnet import ConvNet
-from graphloom.llm.textbytes import layout, lowered, map_texts
+from graphloom.llm.textbytes import freeing, layout, lowered, map_texts
 from graphloom.storage import Stage
 
-MIN_RUN, LEFT, CONTEXT, SAMPLE, RECALL = 8, 24, 72, 3000, 0.98
+MIN_RUN, LEFT, CONTEXT, RECALL = 8, 24, 72, 0.98
+#: Labelled windows of a shard; every window lies in one.
+SAMPLE, ROUNDS = 6000, 2
+#: Width of a bin of scores.
+BIN = 1 / 1024
 VALUE = CONTEXT - LEFT
 KINDS = ("assign", "access", "hex", "model")
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -154,20 +162,25 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0)
-        z = self.net.logits(x)
-        return 1 / (1 + np.exp(-np.clip(self.scale * (z[:, 1] - z[:, 0]) + self.shift, -30, 30)))
+        z = self.net.logits(x).astype(np.float64)
+        return self.probability(z[:, 1] - z[:, 0])
 
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 500) -> tuple[float, float]:
-    """Scale and shift of a logistic fit to one-dimensional scores."""
+
+def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, steps: int = 500) -> tuple[float, float]:
+    """Scale and shift of a logistic fit to one-dimensional scores, each of which stands ``n`` times."""
+    n = np.ones(len(z)) if n is None else n
     a, b = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    ones, zeros = (n * y).sum(), (n * (1 - y)).sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     spread = float(np.abs(z).max()) or 1.0
     u = z / spread
     a *= spread
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
-        w, d = p * (1 - p) + 1e-6, p - target
+        w, d = n * (p * (1 - p) + 1e-6), n * (p - target)
         g = np.array([(d * u).sum(), d.sum()])
         h = np.array([[(w * u * u).sum() + 1e-3, (w * u).sum()], [(w * u).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
@@ -177,34 +190,76 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 500) -> tuple[float, float]
     return a / spread, b
 
 
+def _fit_shards(rows: DataFrame, net: ConvNet, weight: np.ndarray, shards: int, epochs: int, rate: float) -> ConvNet:
+    """The mean of the networks that each shard of ``rows(shard, known, x)`` makes of ``net``."""
+
+    def run(batches):
+        x, y, last = [], [], None
+
+        def done():
+            own = net.like(net.flat()).fit(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), CONTEXT), np.array(y), max(epochs, 300 * 64 // len(x)) if shards == 1 else epochs, rate=rate, weight=weight)
+            row = [pa.array([last], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([own.flat().astype(np.float64).tobytes()], pa.binary())]
+            x.clear()
+            y.clear()
+            return pa.RecordBatch.from_arrays(row, ["shard", "n", "flat"])
+
+        for b in batches:
+            for shard, known, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if x and shard != last:
+                    yield done()
+                last = shard
+                x.append(blob)
+                y.append(known)
+        if x:
+            yield done()
+
+    dealt = rows.select("shard", "known", "x").repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("x"), "x", "known")
+    return net.averaged(sorted(dealt.mapInArrow(freeing(run), "shard long, n long, flat binary").collect(), key=lambda r: r["shard"]))
+
+
+def _binned(net: ConvNet):
+    """(known, bin of the score) of each window."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                z = net.logits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), CONTEXT)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.floor((z[:, 1] - z[:, 0]) / BIN).astype(np.int64))], ["known", "bin"])
+
+    return run
+
+
 def train(docs: DataFrame, recall: float = RECALL) -> Model | None:
-    """A model from ``docs(text)``; None unless both secrets and other candidates are found."""
+    """A model from every labelled finding of ``docs(text)``; None unless both secrets and other candidates are found."""
     stage = Stage(docs.sparkSession, "secrets")
+    h = F.xxhash64("x")
     found = stage.table("findings", map_texts(docs, _findings, "known int, x binary").distinct())
-    sizes = {r["known"]: r["n"] for r in found.groupBy("known").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+    found = found.withColumn("kept", F.pmod(F.shiftright(h, 20), F.lit(4)) == 3)
+    sizes = {(r["known"], r["kept"]): r["n"] for r in found.groupBy("known", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len({k for k, _ in sizes}) < 2:
+        stage.drop("findings")
         return None
-    h = F.pmod(F.xxhash64("x"), F.lit(1 << 40))
-    rows = []
-    for known, n in sizes.items():
-        part = found.where((F.col("known") == known) & (h <= min(1 << 40, int((1 << 40) * 2 * SAMPLE / n))))
-        rows += part.orderBy(h, "x").limit(SAMPLE).collect()
+    fit, kept = found.where(~F.col("kept")), found.where("kept")
+    n = np.array([sizes.get((k, False), 0) for k in (0, 1)], np.float64)
+    if len(sizes) < 4:
+        fit = kept = found  # too few to part them
+        n = np.array([sizes.get((k, False), 0) + sizes.get((k, True), 0) for k in (0, 1)], np.float64)
+    weight = (n.sum() / (2 * n)).astype(np.float32)
+    shards = max(1, -(-int(n.sum()) // SAMPLE))
+    rows = fit.withColumn("shard", F.pmod(h, F.lit(shards)))
+    net = ConvNet(2, (3, 5), 12, 8)
+    net = _fit_shards(rows.where("shard = 0") if shards > 1 else rows, net, weight, 1, 3, 0.004)
+    for _ in range(ROUNDS if shards > 1 else 0):
+        net = _fit_shards(rows, net, weight, shards, 1, 0.001)
+    bins = kept.select("known", "x").mapInArrow(freeing(_binned(net)), "known int, bin long").groupBy("known", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
     stage.drop("findings")
-    rows.sort(key=lambda r: (hashlib.md5(bytes(r["x"])).digest(), r["known"]))
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(len(rows), CONTEXT)
-    y = np.array([r["known"] for r in rows])
-    kept = np.arange(len(y)) % 4 == 3
-    if len(set(y[kept].tolist())) < 2 or len(set(y[~kept].tolist())) < 2:
-        kept = np.ones(len(y), bool)  # too few to part them
-        fit = kept
-    else:
-        fit = ~kept
-    net = ConvNet(2, (3, 5), 12, 8).fit(x[fit], y[fit], epochs=max(3, 300 * 64 // int(fit.sum())))
-    z = net.logits(x[kept])
-    scale, shift = platt((z[:, 1] - z[:, 0]).astype(np.float64), y[kept])
-    model = Model(net, scale, shift, 1.0)
-    p = np.sort(model.score(x[kept])[y[kept] == 1])
-    model.threshold = float(p[int((1 - recall) * len(p))])
+    bins.sort(key=lambda r: (r["bin"], r["known"]))
+    z, y, n = np.array([r["bin"] * BIN for r in bins]), np.array([r["known"] for r in bins]), np.array([r["n"] for r in bins])
+    model = Model(net, *platt(z + BIN / 2, y, n), 1.0)
+    p, n = model.probability(z if model.scale >= 0 else z + BIN)[y == 1], n[y == 1]  # the least of each bin
+    order = np.argsort(p, kind="stable")
+    up = np.cumsum(n[order])
+    model.threshold = float(p[order][np.searchsorted(up, int((1 - recall) * up[-1]), "right")])
     return model
 
 

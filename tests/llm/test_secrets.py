@@ -92,3 +92,23 @@ def test_candidates_and_windows_cover_whole_runs(spark):
     assert sum("model" in spans[i] for i in range(40)) >= 39
     assert sum("model" in spans[100 + i] for i in range(40)) >= 36
     assert sum("model" in spans[200 + i] for i in range(100)) <= 2
+
+
+def test_every_finding_is_learnt_from(spark, monkeypatch):
+    """Shards hold each labelled window once, and the threshold is taken over all kept ones."""
+    monkeypatch.setattr(S, "SAMPLE", 50)
+    seen = []
+    fit = S._fit_shards
+    monkeypatch.setattr(S, "_fit_shards", lambda rows, net, weight, shards, *a: seen.append((shards, rows.collect())) or fit(rows, net, weight, shards, *a))
+    rows = [(i, f"words {i} token = \"{hashlib.sha1(str(i).encode()).hexdigest()[:24]}Z\" and see mail{i}.example.com") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = S.train(df)
+    windows = {(r["known"], bytes(r["x"])) for r in S.map_texts(df, S._findings, "known int, x binary").collect()}
+    assert len(windows) > 700
+    held = windows - {(r["known"], bytes(r["x"])) for r in seen[-1][1]}
+    assert seen[-1][0] > 5 and len(seen[-1][1]) == len(windows) - len(held) and 0.15 * len(windows) < len(held) < 0.35 * len(windows)
+    x = [b for k, b in held if k]
+    score = model.score(S.np.frombuffer(b"".join(x), S.np.uint8).reshape(len(x), S.CONTEXT))
+    assert (score >= model.threshold).mean() >= S.RECALL and (score > model.threshold + 0.05).mean() < 1
+    again = S.train(df.repartition(3))
+    assert again.threshold == model.threshold and all((again.net.p[k] == model.net.p[k]).all() for k in model.net.p)
