@@ -1,24 +1,32 @@
 """Language of each document by a byte convolutional network over fixed-length windows of the whole text.
 
-The network is trained with numpy on windows of a bounded sample of labelled
-documents: at most ``SAMPLE_DOCS`` a language, chosen by a hash of their id, and
-``SAMPLE_WINDOWS`` windows of each. A document's class probabilities are the
-mean over all its windows, weighted by the bytes in each.
+The network is trained with numpy on every window of every labelled document.
+Training starts from a small network that the driver fits on a few documents
+(``SAMPLE_DOCS`` a language, by a hash of their id, ``SAMPLE_WINDOWS`` windows of
+each). Then come ROUNDS rounds, in one of which each document stands by its hash:
+every task trains the network on all windows of its documents, where they are,
+and the tasks' networks are averaged by their windows. Languages keep the balance
+of the start. A document's class probabilities are the mean over all its windows,
+weighted by the bytes in each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.convnet import ConvNet
-from graphloom.llm.textbytes import expand, has_letter, layout, map_texts
+from graphloom.llm.textbytes import expand, freeing, has_letter, layout, map_texts
 
 WINDOW = 256
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_STEPS = 500, 4, 1500
+SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_STEPS = 500, 4, 1500  # of the start only
+ROUNDS, RATE, BATCH = 3, 0.001, 128
+#: Tasks that add up the tasks' networks before the driver does.
+ADDERS = 16
 
 
 def fold(key: Column, parts: int) -> Column:
@@ -47,6 +55,46 @@ def _sampled(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([lang, pa.array([x[i].tobytes() for i in keep], pa.binary())], ["lang", "x"])
 
 
+class _Learn:
+    """(task, n, flat): the network after all windows of a task's texts, times their number."""
+
+    def __init__(self, classes: list[str], net: ConvNet, weight: np.ndarray):
+        self.index, self.net, self.weight = {c: i for i, c in enumerate(classes)}, net, weight
+        self.state, self.n = {}, 0
+
+    def __call__(self, batch: pa.RecordBatch):
+        x, text, _ = windows(*layout(batch.column("text")))
+        y = np.array([self.index[c] for c in batch.column("lang").to_pylist()])[text]
+        self.net.fit(x, y, 1, BATCH, RATE, weight=self.weight, state=self.state)
+        self.n += len(x)
+        return iter(())
+
+    def finish(self):
+        if self.n:
+            yield _network(TaskContext.get().partitionId(), self.n, self.net.flat() * float(self.n))
+
+
+def _network(task: int, n: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.astype(np.float64).tobytes()], pa.binary())], ["task", "n", "flat"])
+
+
+def _add(batches):
+    task, n, total = None, 0, 0.0
+    for b in batches:
+        for t, k, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            task, n, total = t if task is None else task, n + k, total + np.frombuffer(flat.as_buffer(), np.float64)
+    if n:
+        yield _network(task, n, total / n)
+
+
+def learn(known: DataFrame, classes: list[str], net: ConvNet, weight: np.ndarray) -> ConvNet:
+    """``net`` trained on every window of ``known(text, lang)``, task by task, and averaged."""
+    schema = "task long, n long, flat binary"
+    made = map_texts(known, _Learn(classes, net, weight), schema)
+    added = made.repartition(ADDERS, F.pmod("task", F.lit(ADDERS))).sortWithinPartitions("task").mapInArrow(freeing(_add), schema)
+    return net.averaged(sorted(added.collect(), key=lambda r: r["task"]))
+
+
 def train(docs: DataFrame, usable: Column) -> tuple[list[str], ConvNet | None]:
     """(classes, network) from ``docs(doc_id, text, lang)``; the network is None below two classes."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
@@ -64,7 +112,13 @@ def train(docs: DataFrame, usable: Column) -> tuple[list[str], ConvNet | None]:
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(len(rows), WINDOW)
     y = np.array([classes.index(r["lang"]) for r in rows])
-    return classes, ConvNet(len(classes)).fit(x, y, epochs=max(4, TRAIN_STEPS * 64 // len(x)))
+    net = ConvNet(len(classes)).fit(x, y, epochs=max(4, TRAIN_STEPS * 64 // len(x)))
+    n = np.array([sizes[c] for c in classes], np.float64)
+    weight = np.minimum(n, SAMPLE_DOCS) / n
+    weight = (weight * n.sum() / (weight * n).sum()).astype(np.float32)
+    for k in range(ROUNDS):
+        net = learn(known.where(F.pmod(h, F.lit(ROUNDS)) == k).select("text", "lang"), classes, net, weight)
+    return classes, net
 
 
 class _Predict:

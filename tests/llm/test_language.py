@@ -60,3 +60,17 @@ def test_odd_rows(spark):
     assert all(r["lang_pred"] in ("en", "fr", "und") and 0 <= r["score"] <= 1 for r in got.values())
     assert language_id.identify(df.where("lang is null")).select("lang_pred").distinct().collect() == [("und",)]
     assert language_id.identify(df.where("false")).count() == 0
+
+
+def test_every_window_of_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 5)
+    rows = [(i, f"the cat {i} sat on it and " * (i % 40), "en") for i in range(200)] + [(i, f"le chat {i} était là sur " * (i % 30), "fr") for i in range(200, 300)]
+    rows += [(300, None, "en"), (301, "the dog", None), (None, "le chien", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    seen, mean = [], convnet.ConvNet.averaged
+    monkeypatch.setattr(convnet.ConvNet, "averaged", lambda net, rows: seen.extend(r["n"] for r in rows) or mean(net, rows))
+    used = [t for i, t, lang in rows if i is not None and t and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    classes, net = language_id.train(df, language_id.fold(language_id.F.col("doc_id"), 4) != 2)
+    assert classes == ["en", "fr"] and sum(seen) == sum(-(-len(t.encode()) // language_id.WINDOW) for t in used)
+    got = language_id.predict(df, (classes, net), ["doc_id", "lang"]).where("lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(got)
