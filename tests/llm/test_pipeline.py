@@ -40,3 +40,22 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_go_by_their_place_without_a_copy_of_the_texts(spark, tmp_path):
+    rows = [(i % 50, f"text {i}", None if i % 3 else "x") for i in range(200_000)]
+    spark.createDataFrame(rows, "_file long, text string, _metadata string").repartition(5).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    numbered, row = C._numbered(docs, "rows")
+    assert "_metadata" in numbered.columns and numbered.select(row).distinct().count() == 200_000
+    again = {r[0]: r[1] for r in C._numbered(docs, "rows")[0].select("text", row).collect()}
+    assert again == {r["text"]: r[row] for r in numbered.select("text", row).collect()}
+    gone = numbered.where("text like '%7'").select(row)
+    left = C._without(numbered, row, gone)
+    assert left.schema == docs.schema and left.count() == 180_000 and left.where("text like '%7'").count() == 0
+    plan = left._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert C._without(numbered, row, gone.where("false")).count() == 200_000
+    local = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string")
+    numbered, row = C._numbered(local, "rows")
+    assert C._without(numbered, row, numbered.where("text = 'a'").select(row)).collect() == [(1, "b")]
