@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter of word-pair counts.
 
-Words are counted exactly. The HEAD most frequent ones are the model's own
-words; all others share one class. Pairs of neighbours (own word, class, or a
-text's start or end) are counted over all training documents, single ones too. The
-filter holds the level of each count, an exact number up to 8 and a quarter of
+Words are counted exactly, and so are pairs of neighbours (words, or a text's start or
+end) over all training documents, single ones too. The BROADCAST most frequent words are
+known to every task. Pairs of two of them go to the filter, which
+holds the level of each count, an exact number up to 8 and a quarter of
 an octave from there, by one entry for each level up to it; a count is read by
 probing levels until one is absent. Its size follows from the counted entries,
 ENTRY_BITS for each, so it grows with the corpus. All probes of an entry lie in
@@ -13,12 +13,18 @@ its distinct pairs, with the texts that hold them, to the parts that know them.
 most frequent pairs stand in a small filter of their own besides, which is broadcast
 and answers first, so that no part gets the probes of a pair that every text holds.
 
+Pairs with a word beyond those, a rare one, keep their exact counts: they lie in buckets
+by a rare word of theirs (the first, if both are), with the counts of its rare words, and slices
+send theirs there. What a pair of two rare words needs of the second is added
+where the second lies. No rare word is frequent, so no bucket is.
+
 Scores: absolute discounting, ``P(w|u) = max(0, q(u,w) - D) / c(u) + l(u) P(w)``, with
 ``D = n1 / (n1 + 2 n2)`` of the pairs and ``P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``. q, the level's
 number, is never above the count, and l(u) is what the discounted levels of u leave of 1,
 summed over all its pairs; so P(.|u) sums to 1 but for false positives of the filter.
-A word of the class has the class's probability times its share ``P(w) / P(class)``.
-Counts of the class's words come exact by a join, in which no word is frequent.
+
+HEAD, if set, makes a smaller model: words beyond that many are one class in pairs, each
+with its share ``P(w) / P(class)`` of the class's probability.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +42,11 @@ from graphloom.llm.language_id import fold
 from graphloom.llm.textbytes import TOKEN, Hasher, Words, expand, freeing, layout, lowered, map_texts, mix
 from graphloom.storage import Stage
 
-ENTRY_BITS, PROBES, HEAD = 16, 6, 1 << 18
+ENTRY_BITS, PROBES = 16, 6
+#: Words of the model, the others being one class; none: every word is its own.
+HEAD: int | None = None
+#: Words that every task knows; the pairs of others lie in buckets.
+BROADCAST = 1 << 18
 _REGION_BITS = 17
 #: Regions (16 KB each) of a part of the filter: least, most, and the parts that a filter between has.
 PART_REGIONS, MOST_REGIONS, PARTS = 1024, 4096, 64
@@ -47,6 +58,13 @@ FILLED = 512
 SLICE = 3 << 20
 #: Bytes of text for each bucket of pairs, which one task merges.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text for each bucket of rare words.
+TAIL_BYTES = 32 << 20
+#: Set in the hash that stands for a rare word.
+RARE = np.uint64(1 << 63)
+#: Pairs by what is rare: the second (kept by it, beside the first's id), the first (by it, beside the second's id), both (by the first, beside the second).
+SECOND, FIRST, BOTH = range(3)
+_OTHER = (np.uint32, np.uint32, np.uint64)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, Words, np.ndarray]:
@@ -57,11 +75,11 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, Words, np.ndarray]:
 
 
 class Head:
-    """The model's own words by hash. A word's id is its place; the class and a text's ends have the two ids after."""
+    """The words that every task knows, by hash. A word's id is its place; any other word and a text's ends have the two ids after."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray):
+    def __init__(self, h: np.ndarray, n: np.ndarray, classes: bool = False):
         order = np.argsort(h)
-        self.h, self.n = h[order], n[order]
+        self.h, self.n, self.classes = h[order], n[order], classes
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.h):
@@ -76,6 +94,19 @@ class Head:
         before = np.concatenate((np.array([end], np.uint64), seq[:-1]))
         return (before << np.uint64(32)) | seq
 
+    def split(self, h: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """All pairs, which of them the filter counts, and (places, rare word, other) of each kind of the rest; with a class, of its words."""
+        pair = self.pairs(self.ids(h), words)
+        before, own = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
+        first, second = before == len(self.h), own == len(self.h)
+        key = np.insert(h | RARE, words.first[1:], np.uint64(0))
+        if self.classes:
+            at = np.flatnonzero(second)
+            return pair, np.ones(len(pair), bool), [(at, key[at], np.zeros(len(at), np.uint64))]
+        last = np.concatenate((np.zeros(1, np.uint64), key[:-1]))
+        kinds = (second & ~first, key, before), (first & ~second, last, own), (first & second, last, key)
+        return pair, ~(first | second), [(at, k[at], o[at]) for at, k, o in ((np.flatnonzero(f), k, o) for f, k, o in kinds)]
+
 
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     size = end - start
@@ -95,49 +126,95 @@ def _spread(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_keys[0]) - 1, bool)
+    for k in sorted_keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate(([True], new)))
+
+
+def _joint(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One hash of both."""
+    return mix(mix(key) + other.astype(np.uint64))
+
+
+def _by_bucket(key: np.ndarray, buckets: int, *cols: np.ndarray):
+    """(bucket, bytes of the keys, bytes of each column) of every bucket that has keys."""
+    bucket = _spread(mix(key), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cols = [c[order] for c in (key, *cols)]
+    return [(k, *(c[a:z].tobytes() for c in cols)) for k, a, z in _groups(bucket[order])]
+
+
 class _CountPairs:
-    """Counts of pairs, packed by bucket."""
+    """Counts of pairs, packed by bucket: kind -1 for those of the filter; the others' buckets come after its."""
 
-    def __init__(self, head, buckets: int):
-        self.head, self.buckets = head, buckets
+    def __init__(self, head, buckets: int, tails: int):
+        self.head, self.buckets, self.tails = head, buckets, tails
 
     def __call__(self, batch: pa.RecordBatch):
         _, words, h = tokens(batch)
         head = self.head.value
-        pair, n = _counts(head.pairs(head.ids(h), words))
-        bucket = _spread(mix(pair), self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        pair, n, bucket = pair[order], n[order], bucket[order]
-        cut = list(_groups(bucket))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in cut], pa.int64()), pa.array([pair[a:z].tobytes() for _, a, z in cut], pa.binary()), pa.array([n[a:z].astype(np.uint32).tobytes() for _, a, z in cut], pa.binary())], ["bucket", "pair", "n"]
-        )
-
-
-def _merged(h: list, n: list) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.concatenate(h), np.concatenate(n)
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(n, first)
+        pair, inner, rare = head.split(h, words)
+        pair, n = _counts(pair[inner])
+        out = [(k, -1, p, None, m) for k, p, m in _by_bucket(pair, self.buckets, n.astype(np.int64))]
+        for kind, (_, key, other) in enumerate([] if head.classes else rare):
+            joint = _joint(key, other)
+            order = np.argsort(joint)
+            first = _starts(joint[order])
+            n = np.diff(np.append(first, len(order)))
+            at = order[first]
+            out += [(self.buckets + k, kind, p, o, m) for k, p, o, m in _by_bucket(key[at], self.tails, other[at].astype(_OTHER[kind]), n)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "pair", "other", "n"])
+
+
+def _merged(key: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, or (key, other), and the sums of the last column."""
+    joint = _joint(key, cols[0]) if len(cols) > 1 else key
+    order = np.argsort(joint)
+    first = _starts(joint[order])
+    at = order[first]
+    n = np.add.reduceat(cols[-1][order], first) if len(first) else cols[-1]
+    return key[at], *(c[at] for c in cols[:-1]), n
+
+
+_TAIL = pa.struct([("part", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("other", pa.binary()), ("n", pa.binary())])
+
+
+def _merge_pairs(buckets: int):
+    """Sums of each bucket: (pair, n) of the filter's pairs, others packed with a pair of -1."""
+
+    def rows(bucket, kind, cols):
+        for a in range(0, len(cols[0]), 1 << 18):
+            some = [c[a : a + (1 << 18)] for c in cols]
+            if kind < 0:
+                arrays = [pa.array(some[0].view(np.int64)), pa.array(some[1]), pa.nulls(len(some[0]), _TAIL)]
+            else:
+                tail = {"part": bucket - buckets, "kind": kind, **{k: c.tobytes() for k, c in zip(("key", "other", "n"), some)}}
+                arrays = [pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([tail], _TAIL)]
+            yield pa.RecordBatch.from_arrays(arrays, ["pair", "n", "tail"])
 
+    def run(batches):
+        held: dict[tuple[int, int], tuple[list, int]] = {}
+        for b in batches:
+            for bucket, kind, key, other, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                got, last = held.get((bucket, kind), ([], 1 << 16))
+                cols = [np.frombuffer(key.as_buffer(), np.uint64)]
+                if kind >= 0:
+                    cols.append(np.frombuffer(other.as_buffer(), _OTHER[kind]))
+                got.append((*cols, np.frombuffer(n.as_buffer(), np.int64)))
+                if sum(len(x[0]) for x in got) > 2 * last:
+                    got = [_merged(*(np.concatenate(x) for x in zip(*got)))]
+                    last = max(len(got[0][0]), 1 << 16)
+                held[bucket, kind] = (got, last)
+        for (bucket, kind), (got, _) in held.items():
+            yield from rows(bucket, kind, _merged(*(np.concatenate(x) for x in zip(*got))))
 
-def _merge_pairs(batches):
-    """Sums of each bucket."""
-    held: dict[int, tuple[list, list, int]] = {}
-    for b in batches:
-        for bucket, h, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            hs, ns, last = held.get(bucket, ([], [], 1 << 16))
-            hs.append(np.frombuffer(h.as_buffer(), np.uint64))
-            ns.append(np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64))
-            if sum(map(len, hs)) > 2 * last:
-                h2, n2 = _merged(hs, ns)
-                hs, ns, last = [h2], [n2], max(len(h2), 1 << 16)
-            held[bucket] = (hs, ns, last)
-    for hs, ns, _ in held.values():
-        h, n = _merged(hs, ns)
-        for a in range(0, len(h), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], ["pair", "n"])
+    return run
 
 
 class _CountWords:
@@ -234,36 +311,47 @@ class Model:
         self.discount, self.left = 0.0, np.ones(len(self.seen))
 
     def learn(self, pairs: DataFrame) -> int:
-        """Takes discount and left mass from ``pairs(pair, n)``; gives the number of the filter's entries."""
+        """Takes discount and left mass from ``pairs(pair, n, tail)``; gives the number of the filter's entries."""
         size = len(self.seen)
 
         def sums(batches):
             level_sum, kinds, few, entries = np.zeros(size), np.zeros(size), [0, 0], 0
-            for b in batches:
-                before = b.column(0).to_numpy() >> 32
-                n = b.column(1).to_numpy()
-                lv = level(n)
-                level_sum += np.bincount(before, VALUES[lv - 1], size)
-                kinds += np.bincount(before, minlength=size)
+
+            def add(before, n):
+                if before is not None:
+                    level_sum[:] += np.bincount(before, VALUES[level(n) - 1], size)
+                    kinds[:] += np.bincount(before, minlength=size)
                 few[0] += int((n == 1).sum())
                 few[1] += int((n == 2).sum())
-                entries += int(lv.sum())
+
+            for b in batches:
+                pair, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                inner = pair >= 0
+                add(pair[inner] >> 32, n[inner])
+                entries += int(level(n[inner]).sum())
+                _, kind, _, other, n = b.column(2).filter(pa.array(~inner)).flatten()
+                for k, o, m in zip(kind.to_pylist(), other, n):  # those with a rare first word leave its mass where they lie
+                    add(np.frombuffer(o.as_buffer(), np.uint32).astype(np.int64) if k == SECOND else None, np.frombuffer(m.as_buffer(), np.int64))
             at = np.flatnonzero(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(level_sum[at], entries)), pa.array(np.append(kinds[at], few[0])), pa.array(np.append(np.zeros(len(at)), few[1]))], ["id", "q", "k", "two"])
 
         rows = pairs.mapInArrow(freeing(sums), "id long, q double, k double, two double").groupBy("id").agg(F.sum("q").alias("q"), F.sum("k").alias("k"), F.sum("two").alias("two")).toArrow()
         at, q, k, two = (rows.column(c).to_numpy() for c in ("id", "q", "k", "two"))
         total = at < 0
-        if not total.any() or not q[total].sum():
+        if not total.any():
             return 0
         one, pair = float(k[total].sum()), float(two[total].sum())
         self.discount = one / (one + 2 * pair) if one else 0.5
-        at, q, k = at[~total], q[~total], k[~total]
-        self.left[at] = np.clip(1 - (q - self.discount * k) / self.seen[at], 0, 1)
-        return int(rows.column("q").to_numpy()[total].sum())
+        at, q, entries, k = at[~total], q[~total], int(q[total].sum()), k[~total]
+        self.left[at] = self.remains(q, k, self.seen[at])
+        return entries
+
+    def remains(self, q: np.ndarray, k: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """What k pairs, their levels' numbers q together, leave of a word's probability."""
+        return np.clip(1 - (q - self.discount * k) / seen, 0, 1)
 
     def narrow(self, pair: np.ndarray) -> np.ndarray:
-        """Pairs in 40 bits, which HEAD's bound allows, and back."""
+        """Pairs in 40 bits, which the bound on words allows, and back."""
         return (pair >> np.uint64(32)) * np.uint64(len(self.seen)) + (pair & np.uint64(0xFFFFFFFF))
 
     def widen(self, pair: np.ndarray) -> np.ndarray:
@@ -276,7 +364,10 @@ class Model:
         return 1 / np.maximum(self.seen[before], 1), self.left[before] * self.p[own]
 
     def logs(self, inverse: np.ndarray, rest: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.log10(np.minimum(1.0, np.maximum(count - self.discount, 0) * (count > 0) * inverse + rest))
+        return np.log10(np.minimum(1.0, self.gain(inverse, count) + rest))
+
+    def gain(self, inverse: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.maximum(count - self.discount, 0) * (count > 0) * inverse
 
 
 def fill(pairs: DataFrame, regions: int) -> DataFrame:
@@ -331,43 +422,8 @@ def _groups(sorted_keys: np.ndarray):
     return zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist())
 
 
-class _Score:
-    """A row for each text, and one for each of its words that the head lacks."""
-
-    def __init__(self, model):
-        self.model, self.rows = model, 0
-
-    def __call__(self, batch: pa.RecordBatch):
-        data, words, h = tokens(batch)
-        docs, m = len(batch), self.model.value
-        u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        ids = m.head.ids(u)
-        known = ids < len(m.head.h)
-        per_word = np.where(known, np.log10(np.append(m.head.n, 0)[np.where(known, ids, -1)] + 0.5), 0.0)
-        total = words.count + 1
-        norm = math.log10(m.norm)
-        sums = lambda x: np.bincount(words.text, x, docs)
-        base = sums(per_word[inverse]) + math.log10(m.n_docs + 0.5) - total * norm
-        n_known = sums(known[inverse].astype(np.float64)).astype(np.int64) + (m.n_docs > 0)
-        rare = ~known[inverse]
-        # a word of the class adds its own part of the class's probability; its count comes later
-        score = sums(rare.astype(np.float64)) * (-norm - math.log10(m.p[-2]))
-        rid = (np.int64(TaskContext.get().partitionId()) << 40) + self.rows + np.arange(docs)
-        self.rows += docs
-        tail = np.flatnonzero(rare)
-        key, n = _counts(words.text[tail].astype(np.uint64) * np.uint64(len(u)) + inverse[tail].astype(np.uint64))
-        text, word = (key // np.uint64(max(1, len(u)))).astype(np.int64), (key % np.uint64(max(1, len(u)))).astype(np.int64)
-        used, which = np.unique(word, return_inverse=True)
-        own = pa.array([f" {x}" for x in rid.tolist()], pa.string())  # a word holds no space
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rid), own, pa.array(np.zeros(docs, np.int64)), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(total), pa.array(n_known), pa.array(base), pa.array(score)],
-            _NAMES,
-        )
-        none = lambda t: pa.nulls(len(text), t)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rid[text]), strings(data, words.start[at[used]], words.end[at[used]]).take(pa.array(which)), pa.array(n.astype(np.int64)), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())],
-            _NAMES,
-        )
+#: What a slice knows of each of its texts; sums from elsewhere are added.
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
 def _packed(sums: np.ndarray, used: np.ndarray) -> tuple[bytes, bytes]:
@@ -377,29 +433,39 @@ def _packed(sums: np.ndarray, used: np.ndarray) -> tuple[bytes, bytes]:
 
 
 class _Probe:
-    """The distinct pairs of a slice with the texts that hold each, packed by the part of the filter that knows them.
+    """The distinct pairs of a slice with the texts that hold each, packed by the part of the filter, or the bucket after those, that knows them.
 
-    Texts are numbered as by _Score: ``base`` and their place. A pair is 40 bits, in two arrays.
-    What the broadcast filter knows is answered here, as a row of kind 2.
+    Texts are numbered by ``base`` and their place. A pair of the filter is 40 bits, in two arrays.
+    What needs no part, and what the broadcast filter knows, is in a row of kind 2.
     """
 
-    def __init__(self, model, hot, regions: int, part_regions: int):
-        self.model, self.hot, self.regions, self.part_regions, self.rows = model, hot, regions, part_regions, 0
+    def __init__(self, model, hot, regions: int, part_regions: int, tails: int):
+        self.model, self.hot, self.regions, self.part_regions, self.tails, self.rows = model, hot, regions, part_regions, tails, 0
 
     def __call__(self, batch: pa.RecordBatch):
         _, words, h = tokens(batch)
         docs, m = len(batch), self.model.value
         base = (TaskContext.get().partitionId() << 40) + self.rows
         self.rows += docs
-        pair = m.narrow(m.head.pairs(m.head.ids(h), words))
-        text = np.insert(words.text, words.first[1:], np.arange(docs))
+        every, inner, rare = m.head.split(h, words)
+        text_of = np.insert(words.text, words.first[1:], np.arange(docs))
+        own = (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = own < len(m.head.h)
+        doc = np.zeros(docs, _DOC)
+        ids = batch.column("doc_id")
+        doc["doc_id"], doc["known"] = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        doc["held_out"] = batch.column("held_out").to_numpy(zero_copy_only=False)
+        doc["n_tokens"] = words.count + 1
+        doc["n_known"] = np.bincount(text_of[head], minlength=docs) + (m.n_docs > 0)
+        doc["base"] = np.bincount(text_of[head], np.log10(m.head.n[own[head]] + 0.5), docs) + math.log10(m.n_docs + 0.5) - doc["n_tokens"] * math.log10(m.norm)
+        pair, text = m.narrow(every[inner]), text_of[inner]
         if docs <= 1 << 16:
             key = np.sort((pair << np.uint64(16)) | text.astype(np.uint64))
             pair, text = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.uint16)
         else:
             order = np.lexsort((text, pair))
             pair, text = pair[order], text[order].astype(np.uint32)
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        first = _starts(pair)
         n = np.diff(np.append(first, len(pair)))
         wide = m.widen(pair[first])
         hashed = mix(wide)
@@ -407,8 +473,7 @@ class _Probe:
         count = hot.counts(hashed)
         known = count >= least
         own = text[expand(first[known], n[known])]
-        sums = np.bincount(own, np.repeat(m.logs(*m.parts(wide[known]), count[known]), n[known]), docs)
-        at, value = _packed(sums, np.bincount(own, minlength=docs))
+        doc["score"] = np.bincount(own, np.repeat(m.logs(*m.parts(wide[known]), count[known]), n[known]), docs)
         rest = ~known
         own, n, at_pair = pair[first[rest]], n[rest], first[rest]
         part = _spread(hashed[rest], self.regions) // self.part_regions
@@ -416,83 +481,227 @@ class _Probe:
         own, n, at_pair = own[order], n[order], at_pair[order]
         text = text[expand(at_pair, n)]
         ends = np.concatenate(([0], np.cumsum(n)))
-        cut = list(_groups(part[order]))
-        k = len(cut)
         blob = lambda x, a, z, t: np.ascontiguousarray(x[a:z]).astype(t).tobytes()
-        low = [blob(own & np.uint64(0xFFFFFFFF), a, z, np.uint32) for _, a, z in cut]
-        high = [blob(own >> np.uint64(32), a, z, np.uint8) for _, a, z in cut]
-        counts = [blob(n, a, z, np.uint32) for _, a, z in cut]
-        texts = [text[ends[a] : ends[z]].tobytes() for _, a, z in cut]
-        anywhere = int(mix(np.array([base], np.uint64))[0]) % max(1, -(-self.regions // self.part_regions))
+        rows = [(p, 1, blob(own & np.uint64(0xFFFFFFFF), a, z, np.uint32), blob(own >> np.uint64(32), a, z, np.uint8), blob(n, a, z, np.uint32), text[ends[a] : ends[z]].tobytes()) for p, a, z in _groups(part[order])]
+        parts = -(-self.regions // self.part_regions)
+        rows.append((int(mix(np.array([base], np.uint64))[0]) % max(1, parts), 2, doc.tobytes(), None, None, None))
+        for kind, (at, key, other) in enumerate(rare):
+            joint, text = _joint(key, other), text_of[at]
+            order = np.lexsort((text, joint))
+            first = _starts(joint[order], text[order])
+            n = np.diff(np.append(first, len(order))).astype(np.uint32)
+            at = order[first]
+            rows += [(parts + p, _ASKED + kind, *cols) for p, *cols in _by_bucket(key[at], self.tails, other[at].astype(_OTHER[kind]), n, text[at].astype(np.uint32))]
+        part, kind, *cols = zip(*rows)
+        k = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([p for p, _, _ in cut] + [anywhere], pa.int32()), pa.array([1] * k + [2], pa.int32()), pa.nulls(k + 1, pa.int32()), pa.nulls(k + 1, pa.binary()), pa.array([base] * (k + 1), pa.int64()),
-                pa.array([*low, at], pa.binary()), pa.array([*high, value], pa.binary()), pa.array([*counts, None], pa.binary()), pa.array([*texts, None], pa.binary()),
-            ],
+            [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array([base] * k, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
             ["part", "kind", "region", "bits", "base", "low", "high", "n", "texts"],
-        )
+        )
+
+
+#: Kinds of rows in a bucket of rare words, in this order: their counts, pairs of each kind, what slices ask of each kind.
+_RARE, _KEPT, _ASKED = 3, 4, 7
+
+
+class _Bucket:
+    """Rare words with their counts and the mass that their pairs leave, and the counts of pairs."""
+
+    def __init__(self, model):
+        self.model, self.words, self.pairs, self.ready = model, [], ([], [], []), False
+
+    def take(self, kind: int, key, other, n) -> None:
+        cols = np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+        if kind == _RARE:
+            self.words.append(cols)
+        else:
+            self.pairs[kind - _KEPT].append((cols[0], np.frombuffer(other.as_buffer(), _OTHER[kind - _KEPT]), cols[1]))
+
+    def settle(self) -> None:
+        self.ready = True
+        self.key, self.n = _merged(*(np.concatenate(x) for x in zip(*self.words))) if self.words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        q, k, self.found = np.zeros(len(self.key)), np.zeros(len(self.key)), []
+        for kind, some in enumerate(self.pairs):
+            if not some:
+                self.found.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                continue
+            key, other, n = (np.concatenate(x) for x in zip(*some))
+            value = VALUES[level(n) - 1]
+            if kind != SECOND:
+                at = np.searchsorted(self.key, key)
+                q += np.bincount(at, value, len(q))
+                k += np.bincount(at, minlength=len(k))
+            joint = _joint(key, other)
+            order = np.argsort(joint)
+            self.found.append((joint[order], value[order]))
+        self.left = self.model.remains(q, k, self.n)
+        self.words, self.pairs = [], ([], [], [])
 
+    @staticmethod
+    def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), none, values.dtype)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], none)
+
+    def count(self, key: np.ndarray) -> np.ndarray:
+        return self.look(self.key, self.n, key, 0)
+
+    def ask(self, kind: int, key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the word, number of the pair's level or 0, mass that the word's pairs leave)"""
+        return self.count(key), self.look(*self.found[kind], _joint(key, other), 0), self.look(self.key, self.left, key, 1.0)
+
+
+def _sums(text: np.ndarray, *values: np.ndarray) -> tuple[bytes, bytes]:
+    """(texts, the sums of each value) of those texts that are there."""
+    some, at = np.unique(text, return_inverse=True)
+    return some.astype(np.uint32).tobytes(), b"".join(np.bincount(at, v, len(some)).tobytes() for v in values)
+
+
+def _rare_sums(model, text, m, count, score) -> tuple[bytes, bytes]:
+    """Sums for occurrences of rare words by their counts: score, base score, known tokens."""
+    return _sums(text, m * score, m * np.log10(count + 0.5), m * (count > 0))
+
+
+_ANSWER = "part int, base long, texts binary, sums binary, docs binary, low binary, n binary"
+
+
+def _answer(model, regions: int, part_regions: int, tails: int):
+    """A slice's sums of logarithms over the probes of each part; what a part holds comes before its probes.
 
-def _answer(model, regions: int, part_regions: int):
-    """(base, texts, sums): a slice's sums of logarithms over the probes of each part; the part's regions come before its probes."""
+    Rows with a part ask the bucket of the second of two rare words for the rest.
+    """
+    filters = -(-regions // part_regions)
+
+    def rare(held, kind, base, cols):
+        m = model.value
+        key, n, text = (np.frombuffer(cols[i].as_buffer(), t) for i, t in ((0, np.uint64), (2, np.uint32), (3, np.uint32)))
+        other = np.frombuffer(cols[1].as_buffer(), _OTHER[kind])
+        c, q, left = held.ask(kind, key, other)
+        if kind == BOTH:
+            gain = m.gain(1 / np.maximum(c, 1), q)
+            for p, low, n, text, gain, left in _by_bucket(other, tails, n, text, gain, left):
+                yield p, base, text, gain + left, None, low, n
+        elif kind == FIRST:
+            yield None, base, *_sums(text, n * m.logs(1 / np.maximum(c, 1), left * m.p[other], q)), None, None, None
+        elif m.head.classes:  # its part of the class's probability
+            yield None, base, *_rare_sums(m, text, n, c, np.log10((c + 0.5) / m.norm / m.p[-2])), None, None, None
+        else:
+            yield None, base, *_rare_sums(m, text, n, c, m.logs(1 / np.maximum(m.seen[other], 1), m.left[other] * (c + 0.5) / m.norm, q)), None, None, None
 
     def run(batches):
         part, held = None, None
         for b in batches:
-            out: list[list] = [[], [], []]
+            out: list[tuple] = []
             for p, kind, region, bits, base, *cols in zip(*(b.column(i).to_pylist() if i in (0, 1, 2, 4) else b.column(i) for i in range(9))):
+                if kind == 2:
+                    out.append((None, base, None, None, cols[0].as_py(), None, None))
+                    continue
+                if p != part:
+                    part, held = p, LogCounts(regions, p * part_regions, part_regions) if p < filters else _Bucket(model.value)
                 if kind == 0:
-                    if p != part:
-                        part, held = p, LogCounts(regions, p * part_regions, part_regions)
                     held.array[region - held.first] = np.frombuffer(bits.as_buffer(), np.uint8)
-                    continue
-                if kind == 2:
-                    texts, sums = (c.as_py() for c in cols[:2])
-                else:
-                    if p != part:
-                        part, held = p, LogCounts(regions, p * part_regions, part_regions)
+                elif kind == 1:
                     low, high, n = (np.frombuffer(c.as_buffer(), t) for c, t in zip(cols, (np.uint32, np.uint8, np.uint32)))
                     total = int(n.sum())
                     text = np.frombuffer(cols[3].as_buffer(), np.uint16 if len(cols[3].as_buffer()) == 2 * total else np.uint32)
                     pair = model.value.widen((high.astype(np.uint64) << np.uint64(32)) | low)
                     s = model.value.logs(*model.value.parts(pair), held.counts(mix(pair)))
-                    texts, sums = _packed(np.bincount(text, np.repeat(s, n)), np.bincount(text))
-                for col, v in zip(out, (base, texts, sums)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["base", "texts", "sums"])
+                    out.append((None, base, *_packed(np.bincount(text, np.repeat(s, n)), np.bincount(text)), None, None, None))
+                elif kind < _ASKED:
+                    held.take(kind, *cols[:3])
+                else:
+                    if not held.ready:
+                        held.settle()
+                    out += rare(held, kind - _ASKED, base, cols)
+            if out:
+                yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    types = pa.int32(), pa.int64(), *[pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["part", "base", "texts", "sums", "docs", "low", "n"])
+
+
+def _complete(model):
+    """The sums of pairs of two rare words, where the second one's count is."""
+
+    def run(batches):
+        part, held = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for p, kind, base, text, sums, low, n in zip(*(b.column(i).to_pylist() if i < 3 else b.column(i) for i in range(7))):
+                if p != part:
+                    part, held = p, _Bucket(model.value)
+                if kind == _RARE:
+                    held.take(kind, low, None, n)
+                    continue
+                if not held.ready:
+                    held.settle()
+                text, m, key = (np.frombuffer(c.as_buffer(), t) for c, t in ((text, np.uint32), (n, np.uint32), (low, np.uint64)))
+                gain, left = np.frombuffer(sums.as_buffer(), np.float64).reshape(2, -1)
+                c = held.count(key)
+                out.append((None, base, *_rare_sums(model.value, text, m, c, np.log10(np.minimum(1.0, gain + left * (c + 0.5) / model.value.norm))), None, None, None))
+            if out:
+                yield _rows(out)
+
+    return run
+
+
+def _pack_words(tails: int):
+    """(part, low, n): rare words and their counts, packed by bucket."""
+
+    def rows(some):
+        h, n = (np.concatenate(x) for x in zip(*some))
+        part, low, n = zip(*_by_bucket(h.view(np.uint64) | RARE, tails, n))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(low, pa.binary()), pa.array(n, pa.binary())], ["part", "low", "n"])
+
+    def run(batches):
+        some = []
+        for b in batches:
+            if len(b):
+                some.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if sum(len(h) for h, _ in some) >= 1 << 20:
+                yield rows(some)
+                some = []
+        if some:
+            yield rows(some)
 
     return run
 
 
 def _add_up(batches):
-    """(rid, s) of each text from its slice's answers, which come together."""
-    base, total, used = None, np.zeros(0), np.zeros(0, bool)
+    """Each text's row from its slice's row and the answers to it, which come together."""
+    base, doc, got = None, None, []
 
     def done():
-        some = np.flatnonzero(used)
-        return pa.RecordBatch.from_arrays([pa.array(base + some, pa.int64()), pa.array(total[some])], ["rid", "s"])
+        d = doc.copy()
+        for at, value in got:
+            if len(at):
+                value = value.reshape(-1, len(at))
+                d["score"][at] += value[0]
+                if len(value) > 1:
+                    d["base"][at] += value[1]
+                    d["n_known"][at] += value[2].astype(np.int64)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+        return pa.RecordBatch.from_arrays([pa.array(d["doc_id"], mask=~d["known"]), *(pa.array(np.ascontiguousarray(d[k])) for k in names[1:])], [*names[:4], "base_score", "score"])
 
     for b in batches:
-        for key, texts, sums in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            at, value = np.frombuffer(texts.as_buffer(), np.uint32), np.frombuffer(sums.as_buffer(), np.float64)
+        for key, texts, sums, docs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
             if key != base:
                 if base is not None:
                     yield done()
-                base, total, used = key, np.zeros(0), np.zeros(0, bool)
-            if len(at):
-                if at[-1] >= len(total):
-                    grow = int(at[-1]) + 1 - len(total)
-                    total, used = np.append(total, np.zeros(grow)), np.append(used, np.zeros(grow, bool))
-                total[at] += value
-                used[at] = True
+                base, doc, got = key, None, []
+            if docs.is_valid:
+                doc = np.frombuffer(docs.as_buffer(), _DOC)
+            else:
+                got.append((np.frombuffer(texts.as_buffer(), np.uint32), np.frombuffer(sums.as_buffer(), np.float64)))
     if base is not None:
         yield done()
 
 
-_NAMES = ["rid", "word", "m", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-_ROWS = "rid long, word string, m long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs(doc_id, text)``.
 
@@ -511,45 +720,47 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words = stage.table("words", map_texts(train, _CountWords(), "word string, h long, n long", SLICE).groupBy("word").agg(F.min("h").alias("h"), F.sum("n").alias("n")))
     sums = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     n_tokens = (sums[1] or 0) + n_docs
-    top = words.where(F.col("n") >= _head_count(words, HEAD)).select("h", "n").toArrow()
-    head = Head(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
+    least = _head_count(words, BROADCAST if HEAD is None else HEAD)
+    top = words.where(F.col("n") >= least).select("h", "n").toArrow()
+    head = Head(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), HEAD is not None)
     model = Model(head, n_tokens, sums[0], n_docs)
     sc = spark.sparkContext
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    counted = map_texts(train, _CountPairs(sc.broadcast(head), buckets), "bucket long, pair binary, n binary", SLICE)
-    pairs = stage.table("pairs", counted.repartition(buckets, "bucket").mapInArrow(freeing(_merge_pairs), "pair long, n long"))
-    regions = LogCounts.sized(model.learn(pairs))
+    buckets, tails = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // TAIL_BYTES))
+    counted = map_texts(train, _CountPairs(sc.broadcast(head), buckets, tails), "bucket long, kind int, pair binary, other binary, n binary", SLICE)
+    merged = counted.repartition(buckets + tails, "bucket").mapInArrow(freeing(_merge_pairs(buckets)), "pair long, n long, tail struct<part: int, kind: int, key: binary, other: binary, n: binary>")
+    kept = stage.table("pairs", merged)
+    pairs = kept.where("pair >= 0").select("pair", "n")
+    regions = LogCounts.sized(model.learn(kept))
     shared = sc.broadcast(model)
-    least = _head_count(pairs, HOT)
-    top = pairs.where(F.col("n") >= least).toArrow()
+    least_pair = _head_count(pairs, HOT)
+    top = pairs.where(F.col("n") >= least_pair).toArrow()
     hot_h, hot_n = mix(top.column("pair").to_numpy().view(np.uint64)), top.column("n").to_numpy()
     hot = LogCounts(LogCounts.sized(int(level(hot_n).sum())))
     if len(hot_h):
         hot.add(hot_h, level(hot_n))
     # a pair counts as hot if its level is that of the least hot count; one that is only as frequent by its level may be either
-    hot = sc.broadcast((int(VALUES[level(np.array([least]))[0] - 1]), hot))
+    hot = sc.broadcast((int(VALUES[level(np.array([least_pair]))[0] - 1]), hot))
     bits = stage.table("filter", fill(pairs, regions))
-    stage.drop("pairs")
-    rows = map_texts(text, _Score(shared), _ROWS).join(words.select("word", F.col("n").alias("c")), "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    first = lambda name: F.max(name).alias(name)
-    tail = F.sum(F.col("m") * F.log10(c + F.lit(0.5)))
-    out = rows.groupBy("rid").agg(
-        first("doc_id"),
-        first("held_out"),
-        first("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(c > 0, F.col("m")).otherwise(0))).alias("n_known"),
-        (F.max("base") + tail).alias("base_score"),
-        (F.max("score") + tail).alias("score"),
-    )
+    rare = words.where(F.col("n") < least).select("h", "n").mapInArrow(freeing(_pack_words(tails)), "part int, low binary, n binary")
     part_regions = min(MOST_REGIONS, max(PART_REGIONS, regions // PARTS))
+    filters = -(-regions // part_regions)
     kinds = "part int, kind int, region int, bits binary, base long, low binary, high binary, n binary, texts binary"
-    none = [F.lit(None).cast("long").alias("base"), *(F.lit(None).cast("binary").alias(x) for x in ("low", "high", "n", "texts"))]
-    parts = bits.select(F.floor(F.col("region") / part_regions).cast("int").alias("part"), F.lit(0).alias("kind"), "region", "bits", *none)
-    both = map_texts(text, _Probe(shared, hot, regions, part_regions), kinds, SLICE).unionByName(parts)  # probes first: a text's number holds its task's place
-    dealt = both.repartition(-(-regions // part_regions), "part").sortWithinPartitions("part", "kind")
-    answers = dealt.mapInArrow(freeing(_answer(shared, regions, part_regions)), "base long, texts binary, sums binary")
-    sums = stage.table("sums", answers.repartition("base").sortWithinPartitions("base").mapInArrow(freeing(_add_up), "rid long, s double"))
-    stage.drop("filter")
-    out = out.join(sums, "rid", "left").withColumn("score", F.col("score") + F.coalesce("s", F.lit(0.0)))
+    both = map_texts(text, _Probe(shared, hot, regions, part_regions, tails), kinds, SLICE)
+    tail = kept.where("pair < 0").select("tail.*")
+    for held in (
+        bits.select(F.floor(F.col("region") / part_regions).cast("int").alias("part"), F.lit(0).alias("kind"), "region", "bits"),
+        rare.select((F.col("part") + filters).alias("part"), F.lit(_RARE).alias("kind"), "low", "n"),
+        tail.select((F.col("part") + filters).alias("part"), (F.col("kind") + _KEPT).alias("kind"), F.col("key").alias("low"), F.col("other").alias("high"), "n"),
+    ):
+        both = both.unionByName(held, allowMissingColumns=True)
+    dealt = both.repartition(filters + tails, "part").sortWithinPartitions("part", "kind")
+    answers = stage.table("answers", dealt.mapInArrow(freeing(_answer(shared, regions, part_regions, tails)), _ANSWER))
+    stage.drop("filter", "pairs")
+    asked = answers.where("part is not null").select("part", F.lit(_ASKED).alias("kind"), "base", "texts", "sums", "low", "n")
+    asked = asked.unionByName(rare.withColumn("kind", F.lit(_RARE)), allowMissingColumns=True)
+    rest = asked.repartition(tails, "part").sortWithinPartitions("part", "kind").mapInArrow(freeing(_complete(shared)), _ANSWER)
+    every = answers.where("part is null").unionByName(rest).select("base", "texts", "sums", "docs")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = stage.table("scored", every.repartition("base").sortWithinPartitions("base").mapInArrow(freeing(_add_up), schema))
+    stage.drop("answers", "words")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

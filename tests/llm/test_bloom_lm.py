@@ -73,6 +73,38 @@ def test_scores_against_a_plain_model(spark, monkeypatch):
         assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
 
 
+def test_every_word_has_pairs_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST", 60)
+    monkeypatch.setattr(B, "ENTRY_BITS", 400)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(150)], [1 / (i + 1) for i in range(150)], k=rng.choice([0, 5, 90]))) for _ in range(150)]
+    texts += [f"w1 new{i} new{i} w140 w141 new{i} new{i}" for i in range(40)] + ["x1 x2", "x1 x2 x3 x1 x2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    p, kind, one, share = plain_model(train, lambda x: True)
+    want = {}
+    for i, t in enumerate(texts):
+        seq = [None, *toks(t), None]
+        want[i] = sum(math.log10(p(kind(u), kind(w)) * (share(w) if kind(w) is True else 1)) for u, w in zip(seq, seq[1:]))
+    for most, tail_bytes in ((60, 32 << 20), (60, 4000), (0, 4000), (1 << 18, 4000)):  # one bucket, and many; no word known to all, and all
+        monkeypatch.setattr(B, "BROADCAST", most)
+        monkeypatch.setattr(B, "TAIL_BYTES", tail_bytes)
+        got = {r["doc_id"]: r["score"] for r in B.score_texts(df).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_pairs_of_the_rarest_of_many_words(spark):
+    words = [f"w{i}" for i in range(280_000)]
+    texts = [" ".join(words[a : a + 100]) for a in range(0, len(words), 100)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    p, kind, one, _ = plain_model(train, lambda x: True)
+    want = [sum(math.log10(p(kind(u), kind(w))) for u, w in zip([None, *toks(t)], [*toks(t), None])) for t in texts]
+    got = {r["doc_id"]: r["score"] for r in B.score_texts(df).collect()}
+    near = [abs(got[i] - x) < 0.05 * abs(x) for i, x in enumerate(want)]  # the filter has false positives
+    assert len(got) == len(texts) and sum(near) > 0.99 * len(near)
+
+
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(B, "HEAD", 40)
     rng = random.Random(1)
