@@ -753,7 +753,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         tail.select((F.col("part") + filters).alias("part"), (F.col("kind") + _KEPT).alias("kind"), F.col("key").alias("low"), F.col("other").alias("high"), "n"),
     ):
         both = both.unionByName(held, allowMissingColumns=True)
-    dealt = both.repartition(filters + tails, "part").sortWithinPartitions("part", "kind")
+    dealt = both.repartition(4 * (filters + tails), "part").sortWithinPartitions("part", "kind")  # by hash: few parts share a task
     answers = stage.table("answers", dealt.mapInArrow(freeing(_answer(shared, regions, part_regions, tails)), _ANSWER))
     stage.drop("filter", "pairs")
     asked = answers.where("part is not null").select("part", F.lit(_ASKED).alias("kind"), "base", "texts", "sums", "low", "n")
