@@ -121,7 +121,7 @@ def event_fanout_totals(spark, sf_dir):
 @_query(f"{_P}, bad AS (SELECT routine_id, obsolete FROM own WHERE obsolete IS NOT NULL), r AS (SELECT routine_id, obsolete FROM bad UNION SELECT f.src, b.obsolete FROM far f JOIN bad b ON b.routine_id = f.dst) SELECT o.routine_id, count(DISTINCT r.obsolete) > 0 AS unresolved, coalesce(string_agg(DISTINCT r.obsolete, ',' ORDER BY r.obsolete), '') AS reasons FROM own o LEFT JOIN r ON r.routine_id = o.routine_id GROUP BY o.routine_id")
 def propagated_uncertainty(spark, sf_dir):
     """Uncertainties of each routine and of all that it reaches."""
-    f = _program(spark, sf_dir)
+    f = _program(spark, sf_dir, True)
     base = summaries.base_facts(f["routines"], f["routines"].where("obsolete is not null").select(F.col("routine_id").alias("from"), F.col("obsolete").alias("kind")))
     return summaries.propagated_uncertainty(base, f["combined_edges"], f["stage"]).withColumn("reasons", F.array_join("reasons", ","))
 
@@ -129,7 +129,7 @@ def propagated_uncertainty(spark, sf_dir):
 @_query(f"{_P}, t AS (SELECT DISTINCT routine_id FROM places WHERE op = 'Modify' AND routine_id IN (SELECT routine_id FROM own)), c AS (SELECT routine_id, routine_id AS node FROM t UNION SELECT t.routine_id, f.src FROM far f JOIN t ON f.dst = t.routine_id) SELECT c.routine_id, count(DISTINCT l.src) AS loops, min(l.src) AS least FROM c JOIN links l ON l.dst = c.node WHERE l.loops GROUP BY c.routine_id")
 def loops_reaching(spark, sf_dir):
     """The loops whose calls reach each routine that modifies a table."""
-    f = _program(spark, sf_dir)
+    f = _program(spark, sf_dir, True)
     inside = f["call_sites"].where(F.size("loop_stack") > 0).select("callsite_id").join(f["combined_edges"], "callsite_id").select(F.col("from").alias("loop_id"), "to")
     ends = f["record_operations"].where("op = 'Modify'").select("routine_id").distinct().join(f["routines"].select("routine_id"), "routine_id", "left_semi")
     return summaries.loops_reaching(inside, f["combined_edges"], ends, f["stage"]).select("routine_id", F.size("loops").cast("long").alias("loops"), F.col("loops")[0].alias("least"))
