@@ -1,21 +1,48 @@
-"""Reachability over ``edges(src, dst)``: all pairs by doubling, or from seeds semi-naively.
+"""Reachability over ``edges(src, dst)``: all pairs, or from seeds.
 
 Edges and seeds are plain DataFrames of any orderable id type; nothing here
-knows what they stand for. Null ends are ignored. Every round is written to the
-shared folder, so plans stay short and lost executors cost one round.
+knows what they stand for. Null ends are ignored. Weak components of some thousand
+edges are worked on in memory, many to a task (``parts``). Of larger ones, and of ids that are neither whole
+numbers nor texts, every round is written to the shared folder, so plans stay short and lost executors cost one round.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.operators import parts as P
 from graphloom.storage import Stage
 
 
+def _known(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null")
+
+
+def _in_parts(edges: DataFrame) -> DataFrame:
+    return edges.select("part", F.col("src").alias("x"), F.col("dst").alias("y"))
+
+
 def transitive_closure(edges: DataFrame, stage: Stage, name: str = "closure", max_rounds: int = 40) -> DataFrame:
     """(src, dst, dist) of every pair joined by a path of one edge or more, with the fewest edges.
 
+    Pairs of components that one task takes are made as they are read, and not written.
+    """
+    if not P.plain(*P.column_types(edges, "src", "dst")):
+        return closure_rounds(edges, stage, name, max_rounds)
+    parts = P.weak_parts(_known(edges), stage, f"{name}-parts")
+    small, big = parts.split(parts.edges)
+    one = edges.schema["src"].dataType
+    out = P.solve(parts, [_in_parts(small)], P.closure_work, T.StructType([T.StructField("src", one), T.StructField("dst", one), T.StructField("dist", T.IntegerType())]))
+    return out if big is None else out.unionByName(closure_rounds(big, stage, name, max_rounds))
+
+
+def closure_rounds(edges: DataFrame, stage: Stage, name: str = "closure", max_rounds: int = 40) -> DataFrame:
+    """``transitive_closure`` by rounds over the cluster.
+
     Each round joins paths with paths, so the rounds are the logarithm of the longest shortest path.
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
@@ -40,7 +67,26 @@ HOPS = 4
 def reach_from(seeds: DataFrame, edges: DataFrame, stage: Stage, stop: DataFrame | None = None, max_depth: int | None = None, name: str = "reach") -> DataFrame:
     """(root, node, dist): what each ``seeds(root, node)`` reaches, itself at 0.
 
-    Nodes of ``stop(node)`` are reached but not passed, except as seeds. A round
+    Nodes of ``stop(node)`` are reached but not passed, except as seeds.
+    """
+    ends = [*P.column_types(edges, "src", "dst"), *P.column_types(seeds, "node"), *(P.column_types(stop, "node") if stop is not None else [])]
+    if not P.plain(*ends) or not P.plain(*P.column_types(seeds, "root")):
+        return reach_rounds(seeds, edges, stage, stop, max_depth, name)
+    parts = P.weak_parts(_known(edges), stage, f"{name}-parts")
+    at = parts.place(seeds.select("root", "node"), "node")
+    small, big = parts.split(parts.edges)
+    seeds_small, seeds_big = parts.split(at)
+    tables = [_in_parts(small), seeds_small.select("part", "root", F.col("node").alias("x"))]
+    if stop is not None:
+        tables.append(parts.split(parts.place(stop.select("node").where("node is not null").distinct(), "node"))[0].select("part", F.col("node").alias("x")))
+    one, root = ends[0], seeds.schema["root"].dataType
+    schema = T.StructType([T.StructField("root", root), T.StructField("node", one), T.StructField("dist", T.IntegerType())])
+    out = P.solve(parts, tables, partial(P.reach_work, max_depth=max_depth, stopped=stop is not None), schema)
+    return out if big is None else out.unionByName(reach_rounds(seeds_big, big, stage, stop, max_depth, name))
+
+
+def reach_rounds(seeds: DataFrame, edges: DataFrame, stage: Stage, stop: DataFrame | None = None, max_depth: int | None = None, name: str = "reach") -> DataFrame:
+    """``reach_from`` by rounds over the cluster. A round
     takes the pairs that are farthest HOPS steps on, drops known pairs, and is written.
     """
     e = stage.table(f"{name}-edges", edges.select("src", "dst").where("src is not null and dst is not null").distinct())
@@ -68,11 +114,22 @@ def reach_from(seeds: DataFrame, edges: DataFrame, stage: Stage, stop: DataFrame
 
 
 def components_of(edges: DataFrame, stage: Stage, name: str = "scc", max_rounds: int = 200) -> DataFrame:
-    """(node, component, size) of the strong components of two nodes or more, named by their least node.
+    """(node, component, size) of the strong components of two nodes or more, named by their least node."""
+    if not P.plain(*P.column_types(edges, "src", "dst")):
+        return component_rounds(edges, stage, name, max_rounds)
+    parts = P.weak_parts(_known(edges).where("src <> dst"), stage, f"{name}-parts")
+    small, big = parts.split(parts.edges)
+    one = edges.schema["src"].dataType
+    out = P.solve(parts, [_in_parts(small)], P.components_work, T.StructType([T.StructField("node", one), T.StructField("component", one), T.StructField("size", T.LongType())]))
+    return out if big is None else out.unionByName(component_rounds(big, stage, name, max_rounds))
+
+
+def component_rounds(edges: DataFrame, stage: Stage, name: str = "scc", max_rounds: int = 200) -> DataFrame:
+    """``components_of`` by rounds over the cluster; no pair of nodes is made.
 
     Nodes without a way in or out are trimmed off until none is left. Of the rest each takes
     the least node that reaches it; those that reach their least node back are a component, which
-    leaves the graph. No pair of nodes is made.
+    leaves the graph.
     """
     cur = stage.table(f"{name}-e", edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     parts = []
@@ -106,7 +163,7 @@ def components_of(edges: DataFrame, stage: Stage, name: str = "scc", max_rounds:
             total = mark
         inside = cur.join(color.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").where("a = b")
         roots = color.where("node = color").select(F.col("color").alias("root"), "node")
-        got = reach_from(roots, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), stage, name=f"{name}-b{k}")
+        got = reach_rounds(roots, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), stage, name=f"{name}-b{k}")
         found = stage.table(f"{name}-f{k}", got.select("node", F.col("root").alias("component")).distinct())
         parts.append(found)
         cur = stage.table(f"{name}-n{k}", cur.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
