@@ -7,10 +7,14 @@ never with the number of paths.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.operators import parts as P
 from graphloom.storage import Stage
 
 
@@ -20,6 +24,20 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, stage: Stage, k: int = 3,
     Shorter paths come first, equal ones in the order of their nodes. Every
     path leads through one of the ``k`` best to each node before.
     """
+    ends = [*P.column_types(edges, "src", "dst"), *P.column_types(seeds, "node")]
+    if not P.plain(*ends) or not P.plain(*P.column_types(seeds, "root")):
+        return path_rounds(seeds, edges, stage, k, max_depth, name)
+    parts = P.weak_parts(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst"), stage, f"{name}-parts")
+    (small, big), (seeds_small, seeds_big) = parts.split(parts.edges), parts.split(parts.place(seeds.select("root", "node"), "node"))
+    tables = [small.select("part", F.col("src").alias("x"), F.col("dst").alias("y")), seeds_small.select("part", "root", F.col("node").alias("x"))]
+    number = T.IntegerType()
+    schema = T.StructType([T.StructField("root", seeds.schema["root"].dataType), T.StructField("node", ends[0]), T.StructField("dist", number), T.StructField("path", T.ArrayType(ends[0])), T.StructField("rank", number)])
+    out = P.solve(parts, tables, partial(P.paths_work, k=k, max_depth=max_depth), schema)
+    return out if big is None else out.unionByName(path_rounds(seeds_big, big, stage, k, max_depth, name))
+
+
+def path_rounds(seeds: DataFrame, edges: DataFrame, stage: Stage, k: int = 3, max_depth: int = 64, name: str = "paths") -> DataFrame:
+    """``shortest_paths`` by rounds over the cluster."""
     e = stage.table(f"{name}-edges", edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     order = W.partitionBy("root", "node").orderBy("path")
     seen = stage.table(f"{name}0", seeds.select("root", "node").distinct().select("root", "node", F.lit(0).alias("dist"), F.array("node").alias("path"), F.lit(1).alias("rank")))
