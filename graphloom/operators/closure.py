@@ -113,6 +113,39 @@ def reach_rounds(seeds: DataFrame, edges: DataFrame, stage: Stage, stop: DataFra
     return seen
 
 
+def reach_summary(edges: DataFrame, facts: DataFrame, weights: list[str], stage: Stage, roots: DataFrame | None = None, proper: bool = False, name: str = "summary") -> DataFrame:
+    """(root, keys, weights..., nearest) of the ``facts(node, key, weights...)`` that each root reaches, itself at 0: distinct keys, sums, least distance.
+
+    Roots are all nodes, or those of ``roots(node)``; ``proper`` counts only what a path of one edge or more
+    leads to. Roots that reach no fact are left out. Facts are never joined with pairs outside a task.
+    """
+    facts = facts.select("node", "key", *(F.col(w).cast("long").alias(w) for w in weights)).where("node is not null")
+    ends = [*P.column_types(edges, "src", "dst"), *P.column_types(facts, "node"), *(P.column_types(roots, "node") if roots is not None else [])]
+    if not P.plain(*ends) or not P.plain(*P.column_types(facts, "key")):
+        return _summary_rounds(_known(edges), facts, weights, stage, roots, proper, name)
+    parts = P.weak_parts(_known(edges), stage, f"{name}-parts", facts)
+    (small, big), (facts_small, facts_big) = parts.split(parts.edges), parts.split(parts.place(facts, "node"))
+    tables, roots_big = [_in_parts(small), facts_small.withColumnRenamed("node", "x")], None
+    if roots is not None:
+        roots_small, roots_big = parts.split(parts.place(roots.select("node").distinct(), "node"))
+        tables.append(roots_small.select("part", F.col("node").alias("x")))
+    schema = T.StructType([T.StructField("root", ends[0]), *(T.StructField(c, T.LongType()) for c in ("keys", *weights)), T.StructField("nearest", T.IntegerType())])
+    out = P.solve(parts, tables, partial(P.summary_work, weights=weights, proper=proper, roots=roots is not None), schema)
+    return out if big is None else out.unionByName(_summary_rounds(big, facts_big, weights, stage, roots_big, proper, name))
+
+
+def _summary_rounds(edges: DataFrame, facts: DataFrame, weights: list[str], stage: Stage, roots: DataFrame | None, proper: bool, name: str) -> DataFrame:
+    """``reach_summary`` by rounds over the cluster."""
+    pairs = closure_rounds(edges, stage, name)
+    if not proper:
+        own = facts.select(F.col("node").alias("src")).distinct()
+        pairs = pairs.where("src <> dst").unionByName(own.select("src", F.col("src").alias("dst"), F.lit(0).alias("dist")))
+    if roots is not None:
+        pairs = pairs.join(roots.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    j = pairs.join(facts.withColumnRenamed("node", "dst"), "dst")
+    return j.groupBy(F.col("src").alias("root")).agg(F.count_distinct("key").alias("keys"), *(F.sum(w).alias(w) for w in weights), F.min("dist").alias("nearest"))
+
+
 def components_of(edges: DataFrame, stage: Stage, name: str = "scc", max_rounds: int = 200) -> DataFrame:
     """(node, component, size) of the strong components of two nodes or more, named by their least node."""
     if not P.plain(*P.column_types(edges, "src", "dst")):

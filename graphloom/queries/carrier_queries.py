@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.carrier import ACYCLIC, CALLS, FACTS, OPS, ROUTINES, STEPS, sql
-from graphloom.operators.closure import reach_from, strong_components, transaction_spans, transitive_closure
+from graphloom.operators.closure import reach_from, reach_summary, strong_components, transaction_spans, transitive_closure
 from graphloom.operators.diff import keyed_diff, set_difference
 from graphloom.operators.predicates import compile_predicate, glob
 from graphloom.storage import Stage
@@ -70,24 +70,26 @@ def scc_components(spark, sf_dir):
 _BOTH = "pairs AS (SELECT src, dst, dist FROM closure UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM orders)"
 
 
-def _pairs(spark, sf_dir):
-    own = _rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("dist"))
-    return _closure(spark, sf_dir, ACYCLIC).union(own)
+def _own_ops(spark, sf_dir):
+    """Operations of the routines that are there."""
+    return _rel(spark, sf_dir, OPS, "ops").join(_rel(spark, sf_dir, ROUTINES, "routines").select(F.col("id").alias("routine")), "routine", "left_semi")
 
 
 @_query(_rec(ACYCLIC, "").rstrip() + f", {_BOTH}, {OPS} SELECT p.src AS routine, count(DISTINCT o.tab) AS tables_touched, count(*) FILTER (WHERE o.op = 'read') AS reads, count(*) FILTER (WHERE o.op IN ('insert', 'modify')) AS writes, min(p.dist) AS nearest FROM pairs p JOIN ops o ON p.dst = o.routine GROUP BY p.src")
 def table_touch_down(spark, sf_dir):
     """What each routine touches, itself and through its calls."""
-    ops = _rel(spark, sf_dir, OPS, "ops")
-    j = _pairs(spark, sf_dir).join(ops, F.col("dst") == F.col("routine"))
-    return j.groupBy("src").agg(F.countDistinct("tab").alias("tables_touched"), F.count_if(F.col("op") == "read").alias("reads"), F.count_if(F.col("op").isin("insert", "modify")).alias("writes"), F.min("dist").alias("nearest")).withColumnRenamed("src", "routine")
+    facts = _own_ops(spark, sf_dir).select(F.col("routine").alias("node"), F.col("tab").alias("key"), (F.col("op") == "read").cast("int").alias("reads"), F.col("op").isin("insert", "modify").cast("int").alias("writes"))
+    got = reach_summary(_rel(spark, sf_dir, ACYCLIC, "calls"), facts, ["reads", "writes"], Stage(spark, "touch"))
+    return got.select(F.col("root").alias("routine"), F.col("keys").alias("tables_touched"), "reads", "writes", "nearest")
 
 
 @_query(_rec(ACYCLIC, "").rstrip() + f", {_BOTH}, {OPS} SELECT o.tab, p.src AS routine, min(p.dist) AS nearest, count(*) AS places FROM pairs p JOIN ops o ON p.dst = o.routine WHERE o.op = 'modify' AND o.tab <= 7 GROUP BY o.tab, p.src")
 def table_touch_up_scoped(spark, sf_dir):
     """Routines from which a modification of one of the scoped tables is reached."""
-    ops = _rel(spark, sf_dir, OPS, "ops").where("op = 'modify' and tab <= 7")
-    return _pairs(spark, sf_dir).join(ops, F.col("dst") == F.col("routine")).groupBy("tab", F.col("src").alias("r")).agg(F.min("dist").alias("nearest"), F.count(F.lit(1)).alias("places")).withColumnRenamed("r", "routine")
+    ops = _own_ops(spark, sf_dir).where("op = 'modify' and tab <= 7").select("routine", "tab")
+    seeds = ops.select(F.col("routine").alias("root"), F.col("routine").alias("node"))
+    up = reach_from(seeds, _rel(spark, sf_dir, ACYCLIC, "calls").select(F.col("dst").alias("src"), F.col("src").alias("dst")), Stage(spark, "touch"))
+    return up.join(ops, F.col("root") == F.col("routine")).groupBy("tab", "node").agg(F.min("dist").alias("nearest"), F.count(F.lit(1)).alias("places")).withColumnRenamed("node", "routine")
 
 
 @_query(_rec(ACYCLIC, "SELECT dst AS node, src AS ancestor, dist FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY dist, src) AS rn FROM closure) t WHERE rn <= 3"))
@@ -132,9 +134,10 @@ def transaction_span_payload(spark, sf_dir):
 
 @_query(_rec(ACYCLIC, "").rstrip() + f", {OPS}, {ROUTINES} SELECT r.id AS subscriber, count(DISTINCT c.dst) AS committing, min(c.dist) AS nearest FROM routines r JOIN closure c ON r.id = c.src JOIN ops o ON c.dst = o.routine WHERE r.kind = 'event-subscriber' AND o.op = 'commit' GROUP BY r.id")
 def commit_reachable_from_subscriber(spark, sf_dir):
-    subs = _rel(spark, sf_dir, ROUTINES, "routines").where("kind = 'event-subscriber'").select(F.col("id").alias("src"))
-    commits = _rel(spark, sf_dir, OPS, "ops").where("op = 'commit'").select(F.col("routine").alias("dst")).distinct()
-    return _closure(spark, sf_dir, ACYCLIC).join(subs, "src").join(commits, "dst").groupBy(F.col("src").alias("subscriber")).agg(F.countDistinct("dst").alias("committing"), F.min("dist").alias("nearest"))
+    subs = _rel(spark, sf_dir, ROUTINES, "routines").where("kind = 'event-subscriber'").select(F.col("id").alias("node"))
+    commits = _rel(spark, sf_dir, OPS, "ops").where("op = 'commit'").select(F.col("routine").alias("node")).distinct().withColumn("key", F.col("node"))
+    got = reach_summary(_rel(spark, sf_dir, ACYCLIC, "calls"), commits, [], Stage(spark, "commits"), subs, True)
+    return got.select(F.col("root").alias("subscriber"), F.col("keys").alias("committing"), "nearest")
 
 
 _OLD_NEW = ["owner", "kind", "rank"]
