@@ -41,15 +41,22 @@ def app_closure(apps: DataFrame, app_deps: DataFrame, stage: Stage) -> DataFrame
     return reach_from(seeds, edges, stage, name="apps").select(F.col("root").alias("app_guid"), F.col("node").alias("visible_guid"))
 
 
-def _pick(sites: DataFrame, found: DataFrame, target: str) -> DataFrame:
-    """``sites(site_id, app_guid, ...)`` with target and outcome from ``found(site_id, app_guid, visible_guid, <target>)``."""
+def _pick(sites: DataFrame, key: Column, found: DataFrame, closure: DataFrame, target: str) -> DataFrame:
+    """``sites(site_id, app_guid, kind, ...)`` with target and outcome, by a key, from ``found(visible_guid, kind, key, <target>)``.
+
+    What an application sees under a key is found once, however many of its sites ask for it: sites
+    are never joined by their application, of which there are few.
+    """
+    asks = ["app_guid", "kind", "key"]
+    keyed = sites.select("site_id", "app_guid", "kind", key.alias("key"))
+    seen = keyed.select(*asks).distinct().join(closure.select("app_guid", "visible_guid").distinct(), "app_guid").join(found, ["visible_guid", "kind", "key"])
     own = F.when(F.col("app_guid") == F.col("visible_guid"), F.col(target))
-    got = found.groupBy("site_id").agg(F.min(own).alias("own"), F.count_distinct(target).alias("n"), F.min(target).alias("one"))
+    seen = seen.groupBy(*asks).agg(F.min(own).alias("own"), F.min(target).alias("one"), F.max(target).alias("last"))
+    got = keyed.join(seen, asks).groupBy("site_id").agg(F.min("own").alias("own"), F.min("one").alias("one"), F.max("last").alias("last"))
     out = sites.join(got, "site_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.withColumn(target, F.when(F.col("own").isNotNull(), F.col("own")).when(n == 1, F.col("one"))).withColumn(
-        "outcome", F.when(F.col("own").isNotNull(), "own").when(n == 1, "dependency").when(n > 1, "ambiguous").otherwise("not-found")
-    ).drop("own", "n", "one")
+    return out.withColumn(target, F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("one") == F.col("last"), F.col("one"))).withColumn(
+        "outcome", F.when(F.col("own").isNotNull(), "own").when(F.col("one") == F.col("last"), "dependency").when(F.col("one").isNotNull(), "ambiguous").otherwise("not-found")
+    ).drop("own", "one", "last")
 
 
 def resolve_object(sites: DataFrame, objects: DataFrame, closure: DataFrame) -> DataFrame:
@@ -58,14 +65,13 @@ def resolve_object(sites: DataFrame, objects: DataFrame, closure: DataFrame) ->
     Several own objects of one name count as the least id, as a same-app duplicate is one declaration.
     """
     per_app = objects.groupBy(F.col("app_guid").alias("visible_guid"), "kind", folded(F.col("name")).alias("key")).agg(F.min("object_id").alias("object_id"))
-    keyed = sites.select("site_id", "app_guid", "kind", folded(strip_quotes(F.col("name"))).alias("key")).join(closure, "app_guid")
-    return _pick(sites, keyed.join(per_app, ["visible_guid", "kind", "key"]), "object_id")
+    return _pick(sites, folded(strip_quotes(F.col("name"))), per_app, closure, "object_id")
 
 
 def object_by_number(sites: DataFrame, objects: DataFrame, closure: DataFrame) -> DataFrame:
     """``sites(site_id, app_guid, kind, number)`` resolved by declared number, by the same rule."""
-    per_app = objects.where("number is not null").groupBy(F.col("app_guid").alias("visible_guid"), "kind", "number").agg(F.min("object_id").alias("object_id"))
-    return _pick(sites, sites.select("site_id", "app_guid", "kind", "number").join(closure, "app_guid").join(per_app, ["visible_guid", "kind", "number"]), "object_id")
+    per_app = objects.where("number is not null").groupBy(F.col("app_guid").alias("visible_guid"), "kind", F.col("number").alias("key")).agg(F.min("object_id").alias("object_id"))
+    return _pick(sites, F.col("number"), per_app, closure, "object_id")
 
 
 def resolve_object_ref(sites: DataFrame, objects: DataFrame, closure: DataFrame) -> DataFrame:
