@@ -71,12 +71,11 @@ def _in_loop_targets(facts: dict) -> DataFrame:
 def _reached_in_loop(facts: dict, terminals: DataFrame, name: str) -> DataFrame:
     """``terminals(routine_id, ...)`` that some in-loop call reaches, with the depth of the deepest such loop.
 
-    Goes against the calls from the routines that hold a terminal, so only callers of those are seen.
+    Goes along the calls from what in-loop calls lead to; each depth is one root, so a routine is seen once for each depth.
     """
-    holders = terminals.select("routine_id").distinct()
-    callers = _reach(facts, holders, _edges(facts), name, reverse=True)
-    hit = callers.join(_in_loop_targets(facts), F.col("node") == F.col("to")).groupBy(F.col("root").alias("routine_id")).agg(F.max("depth").alias("loop_depth"))
-    return terminals.join(hit, "routine_id")
+    seeds = _in_loop_targets(facts).select(F.col("depth").alias("root"), F.col("to").alias("node")).distinct()
+    inside = reach_from(seeds, _edges(facts).select(F.col("from").alias("src"), F.col("to").alias("dst")), _stage(facts), name=name)
+    return terminals.join(inside.groupBy(F.col("node").alias("routine_id")).agg(F.max("root").alias("loop_depth")), "routine_id")
 
 
 @detector("d1-db-op-in-loop")
