@@ -308,8 +308,9 @@ def d29(facts):
 
 def _may_commit(facts: dict, name: str, but: tuple[str, ...] = ()) -> DataFrame:
     """(routine_id, dist) of routines that commit, themselves at 0 or through calls."""
-    commits = _needs(facts, "operation_sites")[0].where("kind = 'commit'").select("routine_id").distinct()
-    return _reach(facts, commits, _edges(facts, but=but), name, reverse=True).groupBy(F.col("node").alias("routine_id")).agg(F.min("dist").alias("dist"))
+    seeds = _needs(facts, "operation_sites")[0].where("kind = 'commit'").select(F.lit(0).alias("root"), F.col("routine_id").alias("node")).distinct()
+    back = _edges(facts, but=but).select(F.col("to").alias("src"), F.col("from").alias("dst"))
+    return reach_from(seeds, back, _stage(facts), name=name).select(F.col("node").alias("routine_id"), "dist")
 
 
 @detector("d34-commit-in-loop")
