@@ -429,9 +429,11 @@ def d61(facts):
 
 
 def _event_tables(facts: dict) -> DataFrame:
-    """(event_id, sub, table_id, w, r) of what each subscriber itself writes and reads."""
-    e = _needs(facts, "event_edges")[0].select("event_id", F.col("subscriber_routine_id").alias("sub")).distinct()
-    ops = operations(facts).where(~F.col("known_temp") & F.col("table_id").isNotNull() & (F.col("table_id") != "unknown"))
+    """(event_id, sub, table_id, w, r) of what each subscriber itself writes and reads; operations of others, and those that do neither, are left out first."""
+    edges, recorded = _needs(facts, "event_edges", "record_operations")
+    e = edges.select("event_id", F.col("subscriber_routine_id").alias("sub")).distinct()
+    heard = recorded.where(F.col("op").isin(*WRITE_OPS, *OP_CLASS["db-read"])).join(edges.select(F.col("subscriber_routine_id").alias("routine_id")), "routine_id", "left_semi")
+    ops = operations({**facts, "record_operations": heard}).where(~F.col("known_temp") & F.col("table_id").isNotNull() & (F.col("table_id") != "unknown"))
     one = ops.groupBy(F.col("routine_id").alias("sub"), "table_id").agg(F.bool_or(F.col("op").isin(WRITE_OPS)).alias("w"), F.bool_or(F.col("op").isin(*OP_CLASS["db-read"])).alias("r"))
     return e.join(one, "sub")
 
